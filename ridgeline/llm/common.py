@@ -5,7 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +61,82 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+_MULTIPLIERS = np.random.default_rng(20).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX_1, _MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit words that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * _MIX_1
+    x = (x ^ (x >> np.uint64(27))) * _MIX_2
+    return x ^ (x >> np.uint64(31))
+
+
+word_hashes = Memo(xxhash.xxh3_64_intdigest, 500_000)
+
+
+def shingles(words: list[str], size: int = 5) -> np.ndarray:
+    """Hashes of the runs of `size` words; of all words at once if there are fewer; of none if there are none."""
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    h, size = np.fromiter((word_hashes[w] for w in words), np.uint64, n), min(size, n)
+    total = np.full(n - size + 1, size, np.uint64)
+    for k in range(size):
+        total += h[k : n - size + 1 + k] * _MULTIPLIERS[k]
+    return mix(total)
+
+
+def packed_union(rows: DataFrame, bits: int, segments: int = 64) -> np.ndarray:
+    """A packed bit array with a bit set for each value (long, below `bits`) in the single column of rows.
+
+    Tasks mark their own bits, marks are merged by segment as they stream, and the driver gets bits / 8 bytes."""
+    size = bits // segments
+    schema = pa.schema([("segment", pa.int32()), ("marks", pa.binary())])
+
+    def pack(held: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pylist([{"segment": s, "marks": zlib.compress(m.tobytes(), 1)} for s, m in held.items()], schema=schema)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
+        for batch in batches:
+            own[batch.column(0).drop_null().to_numpy(zero_copy_only=False)] = True
+        yield pack({s: np.packbits(own[s * size : (s + 1) * size]) for s in range(segments) if own[s * size : (s + 1) * size].any()})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, m in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+                marks = np.frombuffer(zlib.decompress(m), np.uint8)
+                held[s] = held[s] | marks if s in held else marks
+        yield pack(held)
+
+    kind = "segment int, marks binary"
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows.mapInArrow(mark, kind).repartition("segment").mapInArrow(merge, kind).collect():
+        out[r.segment * size // 8 : (r.segment + 1) * size // 8] = np.frombuffer(zlib.decompress(r.marks), np.uint8)
+    return out
+
+
+def in_packed(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def components(links: DataFrame) -> DataFrame:
+    """node, component (the least node it is linked to, however far) for the nodes of links (columns a, b).
+
+    Each round every node takes the least label of its neighbours and then its label's own label; rounds are kept in
+    the shared folder, and as labels also jump, their number grows with the logarithm of a component's width."""
+    pairs = links.select("a", "b").where("a <> b")
+    edges = settle(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settle(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"))
+    while True:
+        near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
+        lower = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
+        up = labels.select(F.col("node").alias("at"), F.col("component").alias("jump"))
+        lower = settle(lower.join(up, lower.component == up["at"], "left").select("node", "old", F.least("component", "jump").alias("component")))
+        labels = lower.select("node", "component")
+        if lower.where("component <> old").isEmpty():
+            return labels

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chat, quality, secrets, tokens, toxicity
+from ridgeline.llm import chat, decontam, linededup, mixing, neardup, quality, secrets, tokens, toxicity
 from ridgeline.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -38,6 +38,20 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", quality.fails("base-1").alias("base_failed"), (~quality.fails(quality.CURRENT)).alias("kept"), "failed")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = linededup.dedup_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1, keep="none")
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", "n_words", "distance", F.round("similarity", 6).alias("similarity"))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = [(-1, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))]
     extra = spark.createDataFrame(probe, "conv_id bigint, turn bigint, role string, text string")
@@ -49,6 +63,11 @@ def op9_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.read_shards(tokens.write_shards(table(spark, sf_dir, "documents"), tokenizer_path()))
 
 
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "lang", "topic", "tokens", F.round("factor", 9).alias("factor"), F.round("probability", 9).alias("probability"), "sampled")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -11,7 +11,6 @@ Other columns are ignored. Spans are code points of the whole text, end exclusiv
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
 from collections import Counter
@@ -110,7 +109,3 @@ def joined(spans_column: str, kinds: list[str] | None = None) -> Column:
     if kinds:
         s = F.filter(s, lambda x: x.kind.isin(kinds))
     return F.array_join(F.transform(s, lambda x: F.concat_ws(":", x.kind, x.start.cast("string"), x.end.cast("string"))), ",")
-
-
-def sha256_hex(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
