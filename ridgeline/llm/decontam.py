@@ -34,6 +34,14 @@ SLICE_SHINGLES = 100_000
 _BITS = 64 // BLOCKS
 
 
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with the columns computed once a row. What comes later reads them; as outputs of a generator they are never
+    put in place of their names (which inside a lambda would compute them for each element) nor moved into a filter."""
+    for name, column in columns.items():
+        df = df.select("*", F.explode(F.array(column)).alias(name))
+    return df
+
+
 def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
@@ -50,13 +58,16 @@ def own_shingles(words: Column) -> Column:
     return F.array_distinct(short)
 
 
-def simhash(words: Column) -> Column:
-    """64-bit SimHash of the words."""
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def simhash(hashes: Column) -> Column:
+    """64-bit SimHash of hashed words."""
 
     def bit(b: Column) -> Column:
         ones = F.aggregate(hashes, F.lit(0), lambda n, h: n + F.getbit(h, b).cast("int"))
-        return F.when(2 * ones > F.size(words), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
+        return F.when(2 * ones > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("bigint"), b)).otherwise(F.lit(0).cast("bigint"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("bigint"), lambda total, b: total.bitwiseOR(bit(b)))
 
@@ -77,12 +88,12 @@ def index(items: DataFrame) -> DataFrame:
 def prepare(benchmark: DataFrame) -> DataFrame:
     """item_id, words, n_words, shingles (array), weights (array, alike), fingerprint, slice."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), words_of(text_or_empty()).alias("words")).distinct()
-    items = items.where(F.size("words") > 0).withColumn("row", F.xxhash64("item_id", "words"))
+    items = held(settle(items.where(F.size("words") > 0).withColumn("row", F.xxhash64("item_id", "words"))), hashes=hashed(F.col("words")))
     spread = items.select("row", F.explode(own_shingles(F.col("words"))).alias("shingle"))
     counts = spread.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     weighed = spread.join(counts, "shingle").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("shingle", (1 / F.col("n")).alias("weight")))).alias("s"))
     out = items.join(weighed, "row").select(
-        "item_id", "words", F.size("words").alias("n_words"), F.col("s.shingle").alias("shingles"), F.col("s.weight").alias("weights"), simhash(F.col("words")).alias("fingerprint"), "row")
+        "item_id", "words", F.size("words").alias("n_words"), F.col("s.shingle").alias("shingles"), F.col("s.weight").alias("weights"), simhash(F.col("hashes")).alias("fingerprint"), "row")
     return out
 
 
@@ -91,11 +102,9 @@ def windows(docs: DataFrame, items: DataFrame, longest: int, sizes: list[int], h
     words = F.col("words")
     seeds = items.select("n_words", F.posexplode(F.concat(*(F.when(F.lit(k) == F.least("n_words", F.lit(SIZE)), shingles_at(words, k)).otherwise(F.array().cast("array<bigint>")) for k in sizes))).alias("at", "shingle")).distinct()
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), words_of(F.col("text")).alias("words"))
-    for k in sizes:
-        hit = F.transform(shingles_at(words, k), lambda h, i: F.when(h.isin(hashes), F.struct(i.alias("place"), h.alias("shingle"))))
-        rows = rows.withColumn(f"hits_{k}", F.filter(hit, lambda x: x.isNotNull()))
-    rows = rows.withColumn("hits", F.concat(*(f"hits_{k}" for k in sizes))).where(F.size("hits") > 0)
+    rows = held(rows.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text"), words=words_of(F.col("text"))).drop("text")
+    hit = [F.transform(shingles_at(words, k), lambda h, i: F.when(h.isin(hashes), F.struct(i.alias("place"), h.alias("shingle")))) for k in sizes]
+    rows = held(rows, hits=F.filter(F.concat(*hit), lambda x: x.isNotNull())).where(F.size("hits") > 0)
     # a row carries a stretch of the document and the hits in it
     parts = rows.select("doc_id", "row", "words", "hits", F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / CHUNK).cast("int"))).alias("part"))
     inside = F.filter("hits", lambda x: F.floor(x.place / CHUNK) == F.col("part"))
@@ -110,8 +119,9 @@ def windows(docs: DataFrame, items: DataFrame, longest: int, sizes: list[int], h
 
 def matches(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     """window, n_words, item_id, similarity, distance of the distinct windows that the index and the check let through."""
-    words = F.split("window", " ")
-    prints = texts.select("window", "n_words", words.alias("words")).select("window", "n_words", own_shingles(F.col("words")).alias("own"), simhash(F.col("words")).alias("print"))
+    prints = held(texts.select("window", "n_words"), words=F.split("window", " "))
+    prints = held(prints, hashes=hashed(F.col("words")), own=own_shingles(F.col("words")))
+    prints = held(prints, print=simhash(F.col("hashes"))).select("window", "n_words", "own", "print")
     keys = prints.select("window", "n_words", "print", F.explode(blocks(F.col("print"))).alias("b")).select("window", "n_words", "print", "b.block", "b.value")
     found = keys.join(F.broadcast(index(items)), ["block", "value", "n_words"])  # one slice of items
     distance = F.bit_count(F.col("print").bitwiseXOR(F.col("fingerprint")))

@@ -21,6 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ridgeline.llm.common import Memo, settle, text_or_empty
 
@@ -33,7 +34,7 @@ NONE = "\x00"
 _bucket = Memo(lambda w: 1 + xxhash.xxh3_64_intdigest(w.lower()) % TOPICS if len(w) >= LONG else 0, 500_000)
 
 
-@F.pandas_udf("struct<topic:int,tokens:bigint>")
+@F.pandas_udf(T.StructType([T.StructField("topic", T.IntegerType()), T.StructField("tokens", T.LongType())]))
 def _topic_and_tokens(texts: pd.Series) -> pd.DataFrame:
     topics, tokens = [], []
     for text in texts:

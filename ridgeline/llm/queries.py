@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeline.llm import chat, decontam, linededup, mixing, neardup, quality, secrets, tokens, toxicity
+from ridgeline.llm import chat, decontam, html, linededup, mixing, neardup, quality, secrets, tokens, toxicity
 from ridgeline.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -19,6 +19,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     n = lambda kind: F.size(F.filter("spans", lambda s: s.kind == kind)).cast("bigint").alias(f"n_{kind}")
