@@ -1,0 +1 @@
+"""No streaming operator is part of this engine; batch DataFrames cover its whole query surface."""
