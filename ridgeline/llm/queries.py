@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ridgeline.llm import chat, decontam, html, linededup, mixing, neardup, quality, secrets, tokens, toxicity
 from ridgeline.llm.common import table
+from ridgeline.llm.oracles import SQL
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -77,4 +78,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
