@@ -214,8 +214,8 @@ def _memos(tokenizer_path: str) -> tuple[Memo, Memo]:
             return b"".join([pieces[p] for p in _PIECE.findall(s.lower())])
         return np.asarray(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
 
-    pieces = Memo(piece, 800_000)
-    return pieces, Memo(stretch, 100_000)
+    pieces = Memo(piece, 250_000)
+    return pieces, Memo(stretch, 50_000)
 
 
 def encode(text: str, tokenizer_path: str) -> bytes:
