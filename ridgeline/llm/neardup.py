@@ -8,8 +8,10 @@
 3. Texts of equal words become one node, so copies are never compared. Each node gets BANDS * ROWS consistent weighted
    samples; nodes that agree in all samples of a band share a bucket. At similarity 0.8, 99.8 % of pairs do.
 4. Inside a bucket no list of all pairs is made. Every node is verified against one pivot; nodes that fail against a few
-   members of the pivot's class; what is still outside is compared to the members that the triangle inequality (weighted
-   Jaccard distance is a metric) and the weights' totals leave possible. No partner or candidate is capped.
+   members of the pivot's class that the triangle inequality leaves possible (weighted Jaccard distance is a metric).
+   What is still outside is joined to its buckets' members by prefixes: of each text only its rarest shingles, as many as
+   two texts of similarity 0.8 must share one of. Texts that have just a widespread passage in common never meet there.
+   No partner or candidate is capped.
 5. Links of weighted Jaccard similarity of at least 0.8 are joined to classes in Spark.
 
 Nulls: a null text is empty; texts without a word are copies only of equal texts; a null doc_id takes part, and a class's
@@ -35,7 +37,9 @@ SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
 WIDTH = 1 << 20
 IDF_FLOOR = 0.9
-ANCHORS = 8
+ANCHORS = 16
+#: Prefix entries of the texts still outside that tasks may hold in memory at once; more are joined.
+MOST_INDEXED = 500_000
 NEEDED_BITS = 1 << 26
 
 _SEGMENTS = 64
@@ -185,8 +189,19 @@ def signatures(docs: DataFrame, shared: Broadcast) -> DataFrame:
     return _slim(docs).mapInArrow(sign, "doc_id bigint, node binary, bands array<bigint>")
 
 
-def features(docs: DataFrame, needed: DataFrame, shared: Broadcast) -> DataFrame:
-    """node, hashes (sorted shingle hashes, repeated as they repeat, as bytes) and total weight of the needed nodes.
+def prefix(hashes: np.ndarray, weights: np.ndarray, order: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles in an order that all texts share (rarest first), up to where what follows weighs less than
+    threshold of all, and for each the weight from it on. Texts whose prefixes have no shingle in common are less
+    similar than threshold; at the first that they have in common, they share no more than either has from there on."""
+    first = np.lexsort((hashes, -order))
+    done = np.cumsum(weights[first].astype(float))
+    n = int((done[-1] - done >= (threshold - 1e-6) * done[-1]).sum()) + 1
+    return hashes[first[:n]], (done[-1] - done + weights[first])[:n]
+
+
+def features(docs: DataFrame, needed: DataFrame, shared: Broadcast, threshold: float = THRESHOLD) -> DataFrame:
+    """node, hashes (sorted shingle hashes, repeated as they repeat, as bytes), total weight, prefix (shingle hashes) and
+    rest (the weight from each of them on) of the needed nodes.
 
     A fixed-size filter over the needed nodes lets the other texts go where they are read; the join makes it exact."""
     places = needed.select((F.conv(F.concat(*(F.substring(F.hex("node"), k, 2) for k in (7, 5, 3, 1))), 16, 10).cast("bigint") % NEEDED_BITS).alias("at"))
@@ -202,12 +217,16 @@ def features(docs: DataFrame, needed: DataFrame, shared: Broadcast) -> DataFrame
                 if words and node not in rows and in_packed(packed.value, np.array([at]))[0]:
                     s = shingles(words, SIZE)
                     h, c = np.unique(s, return_counts=True)
-                    rows[node] = (np.sort(s).tobytes(), float(shared.value.of(h, c).sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.binary()), pa.array([r[0] for r in rows.values()], pa.binary()), pa.array([r[1] for r in rows.values()], pa.float64())], names=["node", "hashes", "total"])
+                    w = shared.value.of(h, c)
+                    first, rest = prefix(h, w, shared.value.of(h, np.ones_like(c)), threshold)
+                    rows[node] = (np.sort(s).tobytes(), float(w.sum(dtype=float)), first.view(np.int64), rest)
+            columns = [[*rows], *([r[k] for r in rows.values()] for k in range(4))]
+            kinds = (pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=["node", "hashes", "total", "prefix", "rest"])
 
-    found = _slim(docs).mapInArrow(vectors, "node binary, hashes binary, total double")
-    one = found.join(needed.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes"), F.first("total").alias("total"))
-    return one
+    found = _slim(docs).mapInArrow(vectors, "node binary, hashes binary, total double, prefix array<bigint>, rest array<double>")
+    kept = found.join(needed.select("node").distinct(), "node", "left_semi")
+    return kept.groupBy("node").agg(*(F.first(c).alias(c) for c in ("hashes", "total", "prefix", "rest")))
 
 
 def similarity(a: np.ndarray, b: np.ndarray, weights: Weights) -> float:
@@ -240,7 +259,7 @@ def links(docs: DataFrame, signed: DataFrame, shared: Broadcast, threshold: floa
     bucketed = signed.select("node", F.explode("bands").alias("band")).distinct()
     shared_bands = bucketed.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = settle(bucketed.join(shared_bands.select("band", "pivot"), "band"))
-    vectors = settle(features(docs, members.select("node").distinct(), shared))
+    vectors = settle(features(docs, members.select("node").distinct(), shared, threshold))
 
     def check(pairs: DataFrame) -> DataFrame:
         return settle(verified(pairs, vectors, shared))
@@ -268,15 +287,54 @@ def links(docs: DataFrame, signed: DataFrame, shared: Broadcast, threshold: floa
     second = check(tried.select(F.col("node").alias("a"), F.col("anchor").alias("b")))
     label = _labels(first.unionByName(second), threshold)
 
-    # 3: what is still outside against all that can be similar to it
-    left = outside(label).join(vectors.select("node", "total"), "node")
-    every = close.join(vectors.select("node", "total"), "node").join(label, "node", "left").select("band", F.col("node").alias("other"), F.col("similarity").alias("near"), F.col("total").alias("weight"), F.coalesce("label", "node").alias("other_label"))
-    possible = left.join(every, "band").where((F.col("own") != F.col("other_label")) & (F.abs(F.col("near") - F.col("similarity")) <= slack) & (F.least("total", "weight") >= (threshold - 1e-6) * F.greatest("total", "weight")))
-    ordered = possible.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    third = check(ordered)
+    # 3: what is still outside, by prefixes, against the members of its buckets
+    left = settle(outside(label).select("band", "node").distinct())
+    involved = members.join(left.select("band").distinct(), "band").select("node").distinct()
+    told = settle(vectors.join(involved, "node", "left_semi").join(label, "node", "left").select("node", "total", F.coalesce("label", "node").alias("label"), "prefix", "rest"))
+    ours = told.join(left.select("node").distinct(), "node", "left_semi")
+    third = check(meeting(told, ours, threshold))
     return first.unionByName(second).unionByName(third).where(F.col("similarity") >= threshold)
 
 
+def meeting(told: DataFrame, ours: DataFrame, threshold: float, most: int = MOST_INDEXED) -> DataFrame:
+    """a, b: pairs of a text of ours and a text of told (node, total, label, prefix, rest) that aren't known to be in one
+    class and may be similar: for some common prefix shingle, the lesser of what both weigh from it on is at least the
+    weight that two texts of their totals must share. For the first common one that is a bound on what they do share, so
+    no similar pair is lost. Up to `most` prefix entries of ours (their number is measured) are sent to the tasks as an
+    index, more are joined; the pairs are the same."""
+    must = threshold / (1 + threshold) - 1e-6
+    if (ours.agg(F.sum(F.size("prefix"))).first()[0] or 0) > most:
+        spread = ours.select(F.explode(F.arrays_zip("prefix", "rest")).alias("x"), F.col("node").alias("one"), F.col("total").alias("weight"), F.col("label").alias("own"))
+        spread = spread.select(F.col("x.prefix").alias("shingle"), F.col("x.rest").alias("ahead"), "one", "weight", "own")
+        rows = told.select("node", "total", "label", F.explode(F.arrays_zip("prefix", "rest")).alias("x")).select("node", "total", "label", F.col("x.prefix").alias("shingle"), F.col("x.rest").alias("rest"))
+        may = F.least("ahead", "rest") >= must * (F.col("weight") + F.col("total"))
+        pairs = spread.join(rows, "shingle").where((F.col("own") != F.col("label")) & may)
+        return pairs.select(F.least("node", "one").alias("a"), F.greatest("node", "one").alias("b")).distinct()
+    held = told.sparkSession.sparkContext.broadcast([(bytes(r.node), r.total, bytes(r.label), list(r.prefix), list(r.rest)) for r in ours.collect()])
+    kept: dict = {}
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if "keys" not in kept:
+            owner = np.repeat(np.arange(len(held.value)), [len(r[3]) for r in held.value])
+            keys, ahead = np.array([x for r in held.value for x in r[3]], np.int64), np.array([x for r in held.value for x in r[4]], float)
+            order = np.argsort(keys, kind="stable")
+            kept.update(keys=keys[order], owner=owner[order], ahead=ahead[order], weight=np.array([r[1] for r in held.value], float))
+        for batch in batches:
+            pairs = []
+            for node, total, own, first, rest in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                p, r = np.array(first, np.int64), np.array(rest, float)
+                lo, hi = np.searchsorted(kept["keys"], p), np.searchsorted(kept["keys"], p, "right")
+                at = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)] or [np.zeros(0, np.int64)]).astype(np.int64)
+                one = kept["owner"][at]
+                may = np.minimum(kept["ahead"][at], np.repeat(r, hi - lo)) >= must * (kept["weight"][one] + total)
+                for k in np.unique(one[may]):
+                    if held.value[k][2] != own:
+                        pairs.append((min(held.value[k][0], node), max(held.value[k][0], node)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.binary()) for k in range(2)], names=["a", "b"])
+
+    return told.select("node", "total", "label", "prefix", "rest").mapInArrow(meet, "a binary, b binary").distinct()
+
+
 def _labels(found: DataFrame, threshold: float) -> DataFrame:
     """node, label: its class as far as the links found so far tell."""
     return components(found.where(F.col("similarity") >= threshold)).withColumnRenamed("component", "label")
