@@ -74,7 +74,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-word_hashes = Memo(xxhash.xxh3_64_intdigest, 500_000)
+word_hashes = Memo(xxhash.xxh3_64_intdigest, 150_000)
 
 
 def shingles(words: list[str], size: int = 5) -> np.ndarray:

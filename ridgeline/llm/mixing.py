@@ -31,7 +31,7 @@ LONG = 6
 MOST_CELLS = 200_000
 NONE = "\x00"
 
-_bucket = Memo(lambda w: 1 + xxhash.xxh3_64_intdigest(w.lower()) % TOPICS if len(w) >= LONG else 0, 500_000)
+_bucket = Memo(lambda w: 1 + xxhash.xxh3_64_intdigest(w.lower()) % TOPICS if len(w) >= LONG else 0, 150_000)
 
 
 @F.pandas_udf(T.StructType([T.StructField("topic", T.IntegerType()), T.StructField("tokens", T.LongType())]))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import WORD, Memo, text_or_empty
+from ridgeline.llm.common import WORD, text_or_empty, word_hashes
 
 TRAIN_ROWS = 16_000
 BITS = 22
@@ -49,19 +49,10 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def _word_hash(word: str) -> int:
-    import xxhash
-
-    return xxhash.xxh3_64_intdigest(word)
-
-
-_hashes = Memo(_word_hash, 500_000)
-
-
 def features(text: str, bits: int = BITS) -> np.ndarray:
     """Distinct places of the text's features."""
     words = WORD.findall(text.lower())
-    h = np.fromiter((_hashes[w] for w in words), np.uint64, len(words))
+    h = np.fromiter((word_hashes[w] for w in words), np.uint64, len(words))
     parts = [h]
     for gap, factor in ((1, _A), (2, _B), (3, _C)):
         if len(h) > gap:
