@@ -225,10 +225,10 @@ def test_prefixes_meet_alike_by_index_and_join(spark):
         h = np.array(sorted(s), np.uint64)
         w = (1 + (h % np.uint64(3))).astype(np.float32)
         p, rest = neardup.prefix(h, w, (h % np.uint64(7)).astype(np.float32), 0.8)
-        rows.append((bytes([k]), float(w.sum()), bytes([k % 5]), p.view(np.int64).tolist(), rest.tolist()))
+        rows.append((bytes([k]), float(w.sum()), bytes([k % 7]), p.view(np.int64).tolist(), rest.tolist()))
     told = spark.createDataFrame(rows, "node binary, total double, label binary, prefix array<bigint>, rest array<double>")
     ours = told.where("total < 39")
     found = [{(bytes(r.a), bytes(r.b)) for r in neardup.meeting(told, ours, 0.8, most).collect()} for most in (0, 10**6)]
     weight = lambda x: sum(1 + int(e) % 3 for e in x)
-    similar = {(bytes([j]), bytes([i])) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if i % 5 != j % 5 and min(rows[i][1], rows[j][1]) < 39 and weight(a & b) >= 0.8 * weight(a | b)}
+    similar = {(bytes([j]), bytes([i])) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if i % 7 != j % 7 and min(rows[i][1], rows[j][1]) < 39 and weight(a & b) >= 0.8 * weight(a | b)}
     assert found[0] == found[1] and similar and similar <= found[0] and len(found[0]) < 1000
