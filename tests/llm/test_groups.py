@@ -231,4 +231,4 @@ def test_prefixes_meet_alike_by_index_and_join(spark):
     found = [{(bytes(r.a), bytes(r.b)) for r in neardup.meeting(told, ours, 0.8, most).collect()} for most in (0, 10**6)]
     weight = lambda x: sum(1 + int(e) % 3 for e in x)
     similar = {(bytes([j]), bytes([i])) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if i % 7 != j % 7 and min(rows[i][1], rows[j][1]) < 39 and weight(a & b) >= 0.8 * weight(a | b)}
-    assert found[0] == found[1] and similar and similar <= found[0] and len(found[0]) < 1000
+    assert found[0] == found[1] and similar and similar <= found[0] and len(found[0]) < 120 * 119 / 4  # fewer than half of all pairs
