@@ -7,7 +7,9 @@ shingle puts the item's first word; other positions are passed over inside the r
 Each window's words give a 64-bit SimHash. Fingerprints are cut into BLOCKS blocks, and an item is filed under every
 block value within one bit of its own. Two fingerprints within RADIUS = 2 * BLOCKS - 1 bits differ by at most one bit in
 some block, so the index finds every fingerprint within the radius. What it finds is verified exactly: shared weight of
-the shingles over the weight of all, an item's shingle weighing 1 / (items that have it), any other 1.
+the shingles over the weight of all, an item's shingle weighing 1 / (items that have it), any other 1. That alone asks the
+more of a copy the more items hold its passage; so a window also matches if its plain shingle similarity, all weighing
+alike, reaches the threshold, and then has that as its similarity if the weighted one is below.
 
 Shingles are five words (all words of a shorter item), words are runs of letters and digits, lower-cased. Items are taken
 in slices of bounded size, however many there are; what is broadcast is one slice. Nulls: a null text has no words; null
@@ -130,8 +132,11 @@ def matches(texts: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
     both = found.join(prints.select("window", "own"), "window").join(against, ["item_id", "n_words"])
     pairs = F.arrays_zip("shingles", "weights")
     shared = F.aggregate(pairs, F.lit(0.0), lambda total, p: total + F.when(F.array_contains("own", p.shingles), p.weights).otherwise(0.0))
-    whole = F.aggregate("weights", F.lit(0.0), lambda total, w: total + w) + F.size(F.array_except("own", "shingles"))
-    return both.select("window", "n_words", "item_id", "distance", (shared / whole).alias("similarity")).where(F.col("similarity") >= threshold)
+    more = F.size(F.array_except("own", "shingles"))
+    weighted = shared / (F.aggregate("weights", F.lit(0.0), lambda total, w: total + w) + more)
+    plain = (F.size("own") - more) / (F.size("shingles") + more)
+    similarity = F.when(weighted >= threshold, weighted).otherwise(plain)
+    return both.select("window", "n_words", "item_id", "distance", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, slice_shingles: int = SLICE_SHINGLES) -> DataFrame:

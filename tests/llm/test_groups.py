@@ -159,6 +159,20 @@ def test_leaks_against_brute_force(spark):
     assert decontam.leaks(d.limit(0), b).count() == 0 and decontam.leaks(d, b.limit(0)).count() == 0
 
 
+def test_near_copies_of_an_item_that_several_ids_hold(spark):
+    rng = np.random.default_rng(31)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 5000, n))
+    short, long = text(50), text(100)
+    items = [(0, short), (1, short), (2, long), (3, long), (4, long), (5, text(50))]
+    near = lambda t, *at: " ".join("changed" if k in at else w for k, w in enumerate(t.split()))
+    docs = [(0, f"{text(30)} {near(short, 20)} {text(30)}"), (1, f"{text(300)} {near(long, 30, 70)}"), (2, f"{text(9)} {near(long, 20, 40, 60, 80)}"), (3, text(200))]
+    d, b = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(d, b).collect()}
+    want = {(0, 0): 41 / 51, (0, 1): 41 / 51, (1, 2): 86 / 106, (1, 3): 86 / 106, (1, 4): 86 / 106}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert sorted(r.doc_id for r in decontam.without_leaks(d, b).collect()) == [2, 3]
+
+
 def test_leaks_run_no_python(spark, small):
     plan = decontam.leaks(*(spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "benchmark")))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
