@@ -19,11 +19,11 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import Memo, settle, text_or_empty
+from ridgeline.llm.common import Memo, new_path, settle, text_or_empty
 
 TOPICS = 8
 LONG = 6
@@ -100,36 +100,69 @@ def scale(tokens: np.ndarray, factor: np.ndarray, budget: float) -> float:
     return high
 
 
-def _rake_in_spark(cells: DataFrame, temperature: float, rounds: int = 20) -> DataFrame:
-    """The same for any number of cells: shares, ratios and weights stay in Spark; rounds are kept in the shared folder."""
-    now = settle(cells.withColumn("weight", F.col("tokens").cast("double")))
-    total = now.agg(F.sum("weight")).first()[0] or 0.0
-    goals = {}
-    for d in DIMENSIONS:
-        w = now.groupBy(d).agg(F.pow(F.sum("weight") / (total or 1.0), F.lit(temperature)).alias("goal"))
-        norm = w.agg(F.sum("goal")).first()[0] or 1.0
-        goals[d] = settle(w.withColumn("goal", F.col("goal") / norm * total))
+def _goals_in_spark(cells: DataFrame, d: str, total: float, temperature: float, given: dict | None) -> DataFrame:
+    """d, goal (tokens) of each of its categories: the given shares, nothing for what they lack, or the open target."""
+    if given:
+        shares = pd.Series(given, dtype=float).fillna(0)
+        named = cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in shares.items()], f"{d} string, share double")
+        named = named.select(F.col(d).cast(cells.schema[d].dataType).alias(d), "share")
+        return settle(cells.select(d).distinct().join(named, d, "left").select(d, (F.coalesce("share", F.lit(0.0)) * total).alias("goal")))
+    w = settle(cells.groupBy(d).agg(F.pow(F.sum("tokens") / (total or 1.0), F.lit(temperature)).alias("goal")))
+    norm = w.agg(F.sum("goal")).first()[0] or 1.0
+    return settle(w.withColumn("goal", F.col("goal") / norm * total))
+
+
+def _drop(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _rake_in_spark(cells: DataFrame, temperature: float, targets: dict[str, dict] | None = None, rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
+    """The same for any number of cells: shares, ratios and weights stay in Spark. Each round's weights are a file in the
+    shared folder, so that their size is known; the sizes Spark guesses for joins of joins grow with every round."""
+    spark, last = cells.sparkSession, None
+    now = settle(cells.withColumns({"weight": F.col("tokens").cast("double"), "off": F.lit(0.0)}))
+    total = float(now.agg(F.sum("tokens")).first()[0] or 0)
+    goals = {d: _goals_in_spark(cells, d, total, temperature, (targets or {}).get(d)) for d in DIMENSIONS}
     for _ in range(rounds):
+        now = now.withColumn("off", F.lit(0.0))
         for d in DIMENSIONS:
             ratio = now.groupBy(d).agg(F.sum("weight").alias("has")).join(goals[d], d).select(d, F.when(F.col("has") > 0, F.col("goal") / F.col("has")).otherwise(1.0).alias("ratio"))
-            now = now.join(ratio, d).withColumn("weight", F.col("weight") * F.col("ratio")).drop("ratio")
-        now = settle(now)
+            now = now.join(ratio, d).withColumns({"weight": F.col("weight") * F.col("ratio"), "off": F.greatest("off", F.abs(F.col("ratio") - 1))}).drop("ratio")
+        at = new_path(spark, "raked")
+        now.write.parquet(at)
+        now = spark.read.schema(now.schema).parquet(at)
+        if last:
+            _drop(spark, last)
+        last = at
+        if (now.agg(F.max("off")).first()[0] or 0.0) < tolerance:
+            break
     return now.select(*DIMENSIONS, "tokens", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("factor"))
 
 
+def _scale_in_spark(raked: DataFrame, budget: float) -> float:
+    """As scale; it ends when no number lies between the bounds, from where on scale's don't move either."""
+    total, least = raked.agg(F.sum("tokens"), F.min(F.when(F.col("factor") > 0, F.col("factor")))).first()
+    goal = budget * (total or 0)
+    if not goal or least is None:
+        return 0.0
+    low, high = 0.0, 1 / least
+    for _ in range(200):
+        mid = (low + high) / 2
+        if mid in (low, high):
+            break
+        has = raked.agg(F.sum(F.least(F.lit(1.0), F.col("factor") * mid) * F.col("tokens"))).first()[0]
+        low, high = (mid, high) if has < goal else (low, mid)
+    return high
+
+
 def calibrate(measured: DataFrame, budget: float = 0.7, temperature: float = 0.7, targets: dict[str, dict] | None = None, most_cells: int = MOST_CELLS) -> DataFrame:
     """source, lang, topic, factor, probability: one row a cell."""
     spark = measured.sparkSession
     cells = settle(measured.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     if cells.count() > most_cells:
-        raked = settle(_rake_in_spark(cells, temperature))
-        low, high = 0.0, raked.where("factor > 0").agg(1 / F.min("factor")).first()[0] or 1.0
-        goal = budget * (raked.agg(F.sum("tokens")).first()[0] or 0)
-        for _ in range(40):
-            mid = (low + high) / 2
-            has = raked.agg(F.sum(F.least(F.lit(1.0), F.col("factor") * mid) * F.col("tokens"))).first()[0]
-            low, high = (mid, high) if has < goal else (low, mid)
-        return raked.select(*DIMENSIONS, "factor", F.least(F.lit(1.0), F.col("factor") * high).alias("probability"))
+        raked = settle(_rake_in_spark(cells, temperature, targets))
+        return raked.select(*DIMENSIONS, "factor", F.least(F.lit(1.0), F.col("factor") * _scale_in_spark(raked, budget)).alias("probability"))
     table = cells.toPandas().sort_values(DIMENSIONS).reset_index(drop=True)  # at most most_cells rows
     goals = {}
     for d in DIMENSIONS:

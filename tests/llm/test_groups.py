@@ -218,6 +218,15 @@ def test_mixing_meets_its_targets(mixed_docs, most):
     assert sorted(str(r.doc_id) for r in rows.collect()) == sorted("None" if pd.isna(x) else str(int(x)) for x in got[got.sampled].doc_id)
 
 
+def test_raking_in_spark_is_the_drivers(spark):
+    # few tokens off the diagonal: after 20 rounds factors are still 1e-4 off
+    cells = [("a", "x", 0, 400), ("a", "y", 1, 2), ("b", "x", 1, 3), ("b", "y", 0, 300), ("b", "y", 1, 9), ("c", "x", 0, 0)]
+    measured = spark.createDataFrame(cells, "source string, lang string, topic int, tokens bigint")
+    goals = {"lang": {"x": 0.9, "y": 0.1, "none has it": 0.0}, "topic": {0: 0.25, 1: 0.75}}
+    driver, cluster = ({(r.source, r.lang, r.topic): (r.factor, r.probability) for r in mixing.calibrate(measured, 0.5, targets=goals, most_cells=most).collect()} for most in (mixing.MOST_CELLS, 0))
+    assert driver.keys() == cluster.keys() and all(np.allclose(driver[k], cluster[k], rtol=1e-6, atol=1e-12) for k in driver)
+
+
 def test_rake_against_hand_fitted_margins():
     cells = pd.DataFrame({"source": ["a", "a", "b", "b"], "lang": ["x", "y", "x", "y"], "topic": [0] * 4, "tokens": [40, 10, 20, 30]})
     f = mixing.rake(cells, {"source": pd.Series({"a": 0.3, "b": 0.7}), "lang": pd.Series({"x": 0.5, "y": 0.5}), "topic": pd.Series({0: 1.0})})
