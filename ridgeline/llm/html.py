@@ -1,6 +1,7 @@
 """Main-text extraction by consensus of a host's pages.
 
-Each page's containers are scored by the text of the blocks in them, less link text. The best container's generalised
+Each page's containers are scored by the text of the blocks in them, less link text; from the best one it goes up to the
+container around it that has most such text. That one's generalised
 tag-class path (tags and classes from the root, digits made alike) is the page's vote; votes are added up by host and
 path in Spark. Then every page is read again, and the blocks under its host's winning path are its text: the first of
 the host's ranked paths that the page has, or the page's own best container if it has none of them.
@@ -153,8 +154,19 @@ class Page:
         return out
 
     def best(self) -> tuple[str, float] | None:
+        """The path of the best score, or of the container around it, however far, under which most text lies that is no
+        links: title, lead and sister sections belong to the text. With it, that text's characters."""
         scored = self.scores()
-        return max(scored.items(), key=lambda x: (x[1], x[0])) if scored else None
+        if not scored:
+            return None
+        path = max(scored.items(), key=lambda x: (x[1], x[0]))[0]
+        under: dict[str, float] = {}
+        for text, linked, inside in self.blocks:
+            for k in inside:
+                under[self.paths[k]] = under.get(self.paths[k], 0.0) + len(text) - 2 * linked
+        around = next(inside for _, _, inside in self.blocks if any(self.paths[k] == path for k in inside))
+        chain = [self.paths[k] for k in around]
+        return max(((p, under[p]) for p in reversed(chain[: chain.index(path) + 1])), key=lambda x: x[1])  # the innermost of equals
 
     def text(self, ranked: list[str]) -> str:
         """The blocks under the first of the paths that the page has text in; under its own best container else."""

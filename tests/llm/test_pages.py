@@ -35,6 +35,16 @@ def test_consensus_outvotes_an_odd_page(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_text_at_several_depths_is_whole(spark):
+    nested = "<html><body><nav><a href=/>Home</a></nav><div id=w><article><h1>Title {k}</h1><p>A lead of some words</p><div class=body><div><p>{long}</p></div></div></article></div><div class=list><p><a href=/a>One more story to read</a></p></div></body></html>"
+    parts = "<html><body><main><section class=intro><p>Intro {k}</p></section><section class=story><p>{long}</p></section><section class=end><div><p>The end</p></div></section></main></body></html>"
+    long = "many words of the story " * 20
+    rows = [(k, f"http://nested.example/{k}", nested.format(k=k, long=long)) for k in range(3)] + [(k, f"http://parts.example/{k}", parts.format(k=k, long=long)) for k in range(3, 6)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    want = {k: f"Title {k}\n\nA lead of some words\n\n{long.strip()}" if k < 3 else f"Intro {k}\n\n{long.strip()}\n\nThe end" for k in range(6)}
+    assert got == want
+
+
 def test_long_and_broken_pages():
     assert html.Page("<p>" * 5000 + "x").text([]) == "x"
     assert html.Page("<div>" * 2000 + "y").text([]) == "y"
