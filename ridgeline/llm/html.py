@@ -7,7 +7,8 @@ path in Spark. Then every page is read again, and the blocks under its host's wi
 the host's ranked paths that the page has, or the page's own best container if it has none of them.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by tag, role
-and class and never count or come out. Nulls: a null html gives an empty text; pages without a host (null or odd urls)
+and class and never count or come out. A class that only says what an element has ("with-sidebar") is none of these, nor
+is an element that holds the page's main, or its only article and there most of its text. Nulls: a null html gives an empty text; pages without a host (null or odd urls)
 vote together. Repeated rows each give a row and a vote. An empty table gives an empty table, very long pages are read
 whole in one pass, other columns are ignored.
 """
@@ -38,6 +39,8 @@ NOT_TEXT_ROLE = {"alert", "banner", "complementary", "contentinfo", "dialog", "f
 NOT_TEXT_CLASS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|alert|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|header|masthead|comments?|commentlist|disqus|repl(?:y|ies)"
     r"|share|sharing|social|related|newsletter|subscribe|popup|modal|widget|toolbar|pagination|pager|login|signup|search)(?:$|[\s_-])", re.I)
+#: What in a class says something of an element's make-up ("with-sidebar", "comments-open") and doesn't name it.
+MODIFIER = re.compile(r"(?<![^\s_-])(?:with|without|no|has|have)[_-]\S*|(?<!\S)\S*[_-](?:open|opened|closed|enabled|disabled|on|off)(?!\S)", re.I)
 #: What an opening tag closes, if it is open inside the nearest of the second set.
 IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -53,13 +56,27 @@ class Page:
     """blocks: (text, link characters, places of the containers it lies in, from the root); paths: by container."""
 
     def __init__(self, html: str):
+        self._read(html, set())
+        if whole := self._wrappers():
+            self._read(html, whole)
+
+    def _wrappers(self) -> set[int]:
+        """Elements that a class or id calls no text, but that hold the page's main, or its only article and in that more
+        text than there is elsewhere."""
+        spoken = sum(len(text) for text, _, _ in self.blocks)
+        return self.mains | (self.around if self.articles == 1 and self.muted > spoken else set())
+
+    def _read(self, html: str, whole: set[int]) -> None:
+        """whole: places of elements that are text whatever their class."""
         self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
         self.paths: list[str] = []
-        self._read(html)
-
-    def _read(self, html: str) -> None:
-        # open elements: tag, whether it is no text, path, containers, whether it is a link
-        stack: list[tuple[str, bool, str, tuple[int, ...], bool]] = [("", False, "", (), False)]
+        # places of elements silent by class alone around a main, around an article; articles; characters in that article
+        self.mains: set[int] = set()
+        self.around: set[int] = set()
+        self.articles = self.muted = 0
+        # open elements: tag, whether it is no text (its place or its parent's if a class alone says so), path, containers, whether it is a link
+        stack: list[tuple[str, bool | int, str, tuple[int, ...], bool]] = [("", False, "", (), False)]
+        article, depth = stack[0], -1
         words: list[str] = []
         linked, at, size = 0, 0, len(html)
 
@@ -73,6 +90,8 @@ class Page:
 
         def say(text: str) -> None:
             nonlocal linked
+            if stack[-1][1] and stack[-1][1] is not True and 0 <= depth < len(stack) and stack[depth] is article:
+                self.muted += len(text)
             if text and not stack[-1][1]:
                 text = entities.unescape(text)
                 words.append(text)
@@ -117,22 +136,35 @@ class Page:
                 flush()
                 self._imply(tag, stack)
             _, silent, path, inside, link = stack[-1]
-            classes = ""
+            classes, named, role = "", False, ""
             if attrs:
                 found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
-                classes = found.get("class", "")
-                silent = silent or "hidden" in found or found.get("aria-hidden", "").lower() == "true" or found.get("role", "").lower() in NOT_TEXT_ROLE
-                silent = silent or "display:none" in found.get("style", "").replace(" ", "").lower()
-                silent = silent or tag not in ("html", "body") and bool(NOT_TEXT_CLASS.search(classes) or NOT_TEXT_CLASS.search(found.get("id", "")))
+                classes, role = found.get("class", ""), found.get("role", "").lower()
+                hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or role in NOT_TEXT_ROLE
+                hidden = hidden or "display:none" in found.get("style", "").replace(" ", "").lower()
+                named = tag not in ("html", "body", "main") and role != "main" and at not in whole and (self._names_no_text(classes) or self._names_no_text(found.get("id", "")))
+                silent = True if hidden or silent is True else at if named else silent
+            silent = True if tag in NOT_TEXT else silent
             if tag in BLOCK:
                 name = ".".join([tag, *sorted({re.sub(r"\d+", "0", c.lower()) for c in classes.split()})])
                 path = f"{path}>{name}"
             if tag in CONTAINER and not silent:
                 inside = (*inside, len(self.paths))
                 self.paths.append(path)
-            stack.append((tag, silent or tag in NOT_TEXT, path, inside, link or tag == "a"))
+            stack.append((tag, silent, path, inside, link or tag == "a"))
+            self.articles += tag == "article"
+            if silent and silent is not True and not named and (tag in ("main", "article") or role == "main"):
+                around = {x[1] for x in stack if x[1]}
+                if tag == "article":
+                    self.around, article, depth = around, stack[-1], len(stack) - 1
+                else:
+                    self.mains |= around
         flush()
 
+    @staticmethod
+    def _names_no_text(names: str) -> bool:
+        return bool(NOT_TEXT_CLASS.search(names)) and bool(NOT_TEXT_CLASS.search(MODIFIER.sub("", names)))
+
     @staticmethod
     def _imply(tag: str, stack: list) -> None:
         """Closes what the opening block tag closes without saying so."""

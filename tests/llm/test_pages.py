@@ -45,6 +45,18 @@ def test_text_at_several_depths_is_whole(spark):
     assert got == want
 
 
+def test_wrappers_named_for_what_they_have():
+    story = "<h1>Title</h1><p>" + "many words of the story " * 9 + "</p>"
+    whole = html.Page(f"<article>{story}</article>").text([])
+    opened = ["<div class='layout with-sidebar'>", "<div id=no-sidebar>", "<article class='post comments-open'>", "<main class=has-banner>", "<div class='page layout--with-sidebar'>", "<div class=search><main>", "<div class=header><div class=nav><article>"]
+    for tags in opened:
+        assert html.Page(f"<body>{tags}{story}").text([]) == whole, tags
+    for name in ("sidebar", "nav-no-border", "site-header", "widget ad"):
+        assert html.Page(f"<body><div class='{name}'><p>Menu</p></div><article>{story}</article>").text([]) == whole, name
+    teaser = "<div class=related><article><p>Another story</p></article></div><div id=comments><p>" + "a long comment " * 50 + "</p></div>"
+    assert html.Page(f"<body><div class=content>{story}</div>{teaser}").text([]) == whole
+
+
 def test_long_and_broken_pages():
     assert html.Page("<p>" * 5000 + "x").text([]) == "x"
     assert html.Page("<div>" * 2000 + "y").text([]) == "y"
