@@ -47,7 +47,7 @@ IMPLIED = {
     "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
 }
 
-_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|$)")
 _ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 
@@ -110,7 +110,7 @@ class Page:
                 end = html.find(close, lt + 2)
                 at = size if end < 0 else end + len(close)
                 continue
-            m = (_TAG.match(html, lt) if html.find(">", lt, lt + 4096) >= 0 else None) or _LOOSE.match(html, lt)
+            m = _TAG.match(html, lt) or _LOOSE.match(html, lt)
             if not m:
                 say("<")
                 at = lt + 1

@@ -57,6 +57,11 @@ def test_wrappers_named_for_what_they_have():
     assert html.Page(f"<body><div class=content>{story}</div>{teaser}").text([]) == whole
 
 
+def test_long_attributes_end_at_their_quote():
+    state = "x" * 5000 + " > y"
+    assert html.Page(f"<p>a</p><div data-state='{state}' class=sidebar><p>side</p></div><p data-state=\"{state}\">b</p>").text([]) == "a\n\nb"
+
+
 def test_long_and_broken_pages():
     assert html.Page("<p>" * 5000 + "x").text([]) == "x"
     assert html.Page("<div>" * 2000 + "y").text([]) == "y"
