@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -23,22 +24,64 @@ WORD = re.compile(r"\w+")
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: spark.checkpoint.dir.
 
-    Only where the session has none (as in tests) a local one is made and set."""
+    Only a local session that has none (as in tests) gets a local one; on a cluster that would be a folder of the
+    driver's alone, and is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="ridgeline-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
+_scratch: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared folder; inside a `scratch` block it goes when the block ends."""
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for own in _scratch[-1:]:
+        own.append(at)
+    return at
+
+
+def drop(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What the block keeps in the shared folder is removed at its end; its results must be written by then. Without such
+    a block intermediate data stay there, as a DataFrame that was returned may read them at any time."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for at in _scratch.pop():
+            drop(spark, at)
+
+
+def settle(df: DataFrame, name: str = "settled") -> DataFrame:
+    """df, computed once, written to the shared folder and read from there: a short lineage, and sizes that Spark knows."""
+    spark, at = df.sparkSession, new_path(df.sparkSession, name)
+    df.write.parquet(at)
+    return spark.read.schema(df.schema).parquet(at)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder (Spark removes it once df is out of use)."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a small file that gives Spark fewer tasks than there are cores is dealt out evenly."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
