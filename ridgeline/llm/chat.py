@@ -3,15 +3,17 @@
 Every assistant turn becomes an example of its own: all turns before it are context, and only its reply is
 trainable. Consecutive examples of a conversation share their prefix, so an example is kept as what it adds to the
 example before it (`added`) and the length of what it repeats (`shared_chars`); the stored size is linear in the
-conversation, not quadratic, and `full_examples` spells the prefixes out.
+conversation, not quadratic. `expanded` makes the examples from it, each with its whole context; they stream out one by
+one, and what is read back is read from them.
 
 Template: `<|im_start|>role<|im_sep|>text<|im_end|>` and a line end for each turn. Inside roles and texts each
 control string gets a backslash behind its first character and each backslash is doubled, so no text can hold a
 control string and `unescape` gives the text back.
 
 Nulls: a null role or text is empty, a null turn sorts first, rows with a null conv_id are one conversation. Ties in
-turn are ordered by role, then text; repeated rows stay. Turns behind the last reply form a last record without a
-target, so nothing is lost. An empty table gives an empty table. Other columns are ignored.
+turn are ordered by role, then text; repeated rows stay. Turns behind the last reply form records without a target (as
+does every stretch of MOST_HELD characters without a reply), so nothing is lost. A task holds the text of one example. An
+empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +32,9 @@ CONTROL = ["<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 _CONTROL = re.compile("(?=" + "|".join(map(re.escape, CONTROL)) + ")(.)")
 
+#: Characters of turns that wait for a reply before they are stored without one.
+MOST_HELD = 1 << 20
+
 EXAMPLES = "conv_id bigint, example int, shared_chars bigint, added string, loss_start bigint, loss_end bigint"
 
 
@@ -60,7 +66,7 @@ def _ids(col: pd.Series) -> list:
 
 
 def examples(conversations: DataFrame) -> DataFrame:
-    """Columns EXAMPLES: one row for each assistant turn, and one without a target for turns behind the last.
+    """Columns EXAMPLES: one row for each assistant turn, and rows without a target for turns that no reply follows.
 
     An example's text is the `added` of all rows of its conversation up to its own, in order of `example`;
     loss_start and loss_end are code points within it and hold the reply alone."""
@@ -81,6 +87,9 @@ def examples(conversations: DataFrame) -> DataFrame:
                 if role == "assistant":
                     out.append((conv, number, shared, "".join(held), begin, begin + len(body)))
                     held, shared, number = [], size, number + 1
+                elif size - shared > MOST_HELD:
+                    out.append((conv, number, shared, "".join(held), None, None))
+                    held, shared, number = [], size, number + 1
             yield _frame(out)
             out = []
         if held:
@@ -94,22 +103,36 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
     return pdf.astype({"conv_id": "Int64", "example": "int32", "shared_chars": "int64", "loss_start": "Int64", "loss_end": "Int64"})
 
 
-def full_examples(stored: DataFrame) -> DataFrame:
-    """The examples with their whole text, prefix included: (conv_id, example, text, loss_start, loss_end).
+FULL = "conv_id bigint, example int, text string, loss_start bigint, loss_end bigint"
 
-    Its size is that of all prefixes together; rows stream out one by one, so memory holds one conversation's text."""
 
-    def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, prefix = object(), ""
-        for pdf in batches:
-            for conv, number, added, a, b in zip(_ids(pdf.conv_id), pdf.example, pdf.added, pdf.loss_start, pdf.loss_end, strict=True):
+def expanded(stored: DataFrame) -> DataFrame:
+    """Columns FULL: each record with its whole text, all turns before it included, and the span of its reply (null without
+    one), in order of example within a conversation, whose records lie in one partition.
+
+    Its size is that of all prefixes together; batches of about MOST_HELD characters stream out."""
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("conv_id", pa.int64()), ("example", pa.int32()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
+        now, prefix, out, chars = object(), "", [], 0
+        for batch in batches:
+            for conv, number, added, a, b in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 prefix = (prefix if _same(conv, now) else "") + added
-                now = conv
-                if not pd.isna(a):
-                    yield pd.DataFrame({"conv_id": pd.array([conv], "Int64"), "example": [number], "text": [prefix], "loss_start": [int(a)], "loss_end": [int(b)]})
+                now, chars = conv, chars + len(prefix)
+                out.append((conv, number, prefix, a, b))
+                if chars > MOST_HELD:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                    out, chars = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
     one = stored.repartition("conv_id").sortWithinPartitions("conv_id", "example")
-    return one.select("conv_id", "example", "added", "loss_start", "loss_end").mapInPandas(spell, "conv_id bigint, example int, text string, loss_start bigint, loss_end bigint")
+    return one.select("conv_id", "example", "added", "loss_start", "loss_end").mapInArrow(spell, FULL)
+
+
+def full_examples(stored: DataFrame) -> DataFrame:
+    """The examples with their whole text, context included: columns FULL."""
+    return expanded(stored).where(F.col("loss_start").isNotNull())
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -122,38 +145,36 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """Per conversation, from the stored examples alone: conv_id, n_turns, turns_sha256 (of role, line end, text and
-    line end of each turn), loss_chars, loss_sha256 (of the unescaped text under the loss mask), formatted_chars
-    (of the conversation's last example, its prefix included), n_examples."""
+    """Per conversation, from its expanded examples: conv_id, n_turns, turns_sha256 (of role, line end, text and line end of
+    each turn), loss_chars, loss_sha256 (of the unescaped text under the loss mask), formatted_chars (of the last record,
+    context included), n_examples."""
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def row():
-            return (now, turns, whole.hexdigest(), loss, masked.hexdigest(), chars, count)
+            whole, turns = hashlib.sha256(), parse(last)
+            for role, text in turns:
+                whole.update(f"{role}\n{text}\n".encode())
+            return (now, len(turns), whole.hexdigest(), loss, masked.hexdigest(), len(last), count)
 
-        now, begun, turns, loss, chars, count = None, False, 0, 0, 0, 0
-        whole, masked, out = hashlib.sha256(), hashlib.sha256(), []
+        now, last, loss, count, masked, out = None, None, 0, 0, hashlib.sha256(), []
         for pdf in batches:
-            for conv, shared, added, a, b in zip(_ids(pdf.conv_id), pdf.shared_chars, pdf.added, pdf.loss_start, pdf.loss_end, strict=True):
-                if not begun or not _same(conv, now):
-                    if begun:
+            for conv, text, a, b in zip(_ids(pdf.conv_id), pdf.text, pdf.loss_start, pdf.loss_end, strict=True):
+                if last is None or not _same(conv, now):
+                    if last is not None:
                         out.append(row())
-                    now, begun, turns, loss, chars, count = conv, True, 0, 0, 0, 0
-                    whole, masked = hashlib.sha256(), hashlib.sha256()
-                for role, text in parse(added):
-                    turns += 1
-                    whole.update(f"{role}\n{text}\n".encode())
-                chars = int(shared) + len(added)
+                    now, loss, count, masked = conv, 0, 0, hashlib.sha256()
+                last = text
                 if not pd.isna(a):
-                    text = unescape(added[int(a) - int(shared) : int(b) - int(shared)])
-                    loss, count = loss + len(text), count + 1
-                    masked.update(text.encode())
+                    reply = unescape(text[int(a) : int(b)])
+                    loss, count = loss + len(reply), count + 1
+                    masked.update(reply.encode())
             yield _digests(out)
             out = []
-        if begun:
+        if last is not None:
             yield _digests([row()])
 
-    one = stored.repartition("conv_id").sortWithinPartitions("conv_id", "example")
-    return one.select("conv_id", "shared_chars", "added", "loss_start", "loss_end").mapInPandas(
+    # the records of a conversation stay in order in their partition: nothing is shuffled between the two
+    return expanded(stored).select("conv_id", "text", "loss_start", "loss_end").mapInPandas(
         digest, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint")
 
 

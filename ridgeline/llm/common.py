@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -92,12 +93,16 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+_memos: list[dict] = []
+
+
 class Memo(dict):
     """A dict that computes what it lacks and forgets everything at `most` entries, so that memory stays bounded."""
 
     def __init__(self, make, most: int = 1_000_000):
         super().__init__()
         self.make, self.most = make, most
+        _memos.append(self)
 
     def __missing__(self, key):
         if len(self) >= self.most:
@@ -120,6 +125,38 @@ def mix(x: np.ndarray) -> np.ndarray:
 word_hashes = Memo(xxhash.xxh3_64_intdigest, 150_000)
 
 
+def forget(*but: dict) -> None:
+    """Empties this worker's memos, but for some, and gives the memory back."""
+    held = [m for m in _memos if m and not any(m is x for x in but)]
+    for memo in held:
+        memo.clear()
+    if held:
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(work: Callable) -> Callable:
+    """work (a task's function over its batches), before and after which the worker forgets: Spark keeps workers between
+    tasks, and an executor must hold them beside all that comes later."""
+
+    def run(batches: Iterator) -> Iterator:
+        forget()
+        try:
+            yield from work(batches)
+        finally:
+            forget()
+
+    return run
+
+
+def in_bytes(batches: Iterator[pa.RecordBatch], most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes, or of one row."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * most // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def shingles(words: list[str], size: int = 5) -> np.ndarray:
     """Hashes of the runs of `size` words; of all words at once if there are fewer; of none if there are none."""
     n = len(words)
@@ -158,11 +195,30 @@ def packed_union(rows: DataFrame, bits: int, segments: int = 64) -> np.ndarray:
 
     kind = "segment int, marks binary"
     out = np.zeros(bits // 8, np.uint8)
-    for r in rows.mapInArrow(mark, kind).repartition("segment").mapInArrow(merge, kind).collect():
+    for r in rows.mapInArrow(tidy(mark), kind).repartition("segment").mapInArrow(merge, kind).collect():
         out[r.segment * size // 8 : (r.segment + 1) * size // 8] = np.frombuffer(zlib.decompress(r.marks), np.uint8)
     return out
 
 
+def frequent(counted: DataFrame, n: str = "n", share: int = 10_000, least: int = 1000) -> tuple[DataFrame | None, int]:
+    """The rows of counted (keys with their numbers of rows, n) whose key has at least 1 / share of all rows, and that
+    bound; None if there is none. There are at most `share` of them, however large the data, so they may be broadcast; no
+    other key has more rows than the bound."""
+    bound = max(least, -(-(counted.agg(F.sum(n)).first()[0] or 0) // share))
+    hot = counted.where(F.col(n) >= bound)
+    return (None if hot.isEmpty() else hot), bound
+
+
+def join_skewed(rows: DataFrame, counted: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """rows joined to counted (one row a key; n: how many of rows have it). Frequent keys are joined where their rows are
+    read, as no key's rows may have to meet in one task; the others are shuffled."""
+    hot, bound = frequent(counted, n)
+    if hot is None:
+        return rows.join(counted, key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(counted.where(F.col(n) < bound), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
+
+
 def in_packed(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
@@ -170,16 +226,24 @@ def in_packed(packed: np.ndarray, at: np.ndarray) -> np.ndarray:
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node it is linked to, however far) for the nodes of links (columns a, b).
 
-    Each round every node takes the least label of its neighbours and then its label's own label; rounds are kept in
-    the shared folder, and as labels also jump, their number grows with the logarithm of a component's width."""
-    pairs = links.select("a", "b").where("a <> b")
-    edges = settle(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settle(edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"))
+    Each round every node takes the least label of its neighbours and then its label's own label; as labels also jump, the
+    number of rounds grows with the logarithm of a component's width. A round is a file in the shared folder; the one before
+    it goes."""
+    spark, pairs = links.sparkSession, links.select("a", "b").where("a <> b")
+    edges = settle(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = edges.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node")
+    last = None
     while True:
+        at = new_path(spark, "labels")
+        labels.write.parquet(at)
+        rows = spark.read.schema(labels.schema).parquet(at)
+        labels = rows.select("node", "component")
+        if last:
+            drop(spark, last)
+            if rows.where("component <> old").isEmpty():
+                return labels
+        last = at
         near = edges.join(labels, edges.b == labels.node).groupBy("a").agg(F.min("component").alias("near"))
         lower = labels.join(near, labels.node == near.a, "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         up = labels.select(F.col("node").alias("at"), F.col("component").alias("jump"))
-        lower = settle(lower.join(up, lower.component == up["at"], "left").select("node", "old", F.least("component", "jump").alias("component")))
-        labels = lower.select("node", "component")
-        if lower.where("component <> old").isEmpty():
-            return labels
+        labels = lower.join(up, lower.component == up["at"], "left").select("node", "old", F.least("component", "jump").alias("component"))

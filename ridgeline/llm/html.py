@@ -4,7 +4,8 @@ Each page's containers are scored by the text of the blocks in them, less link t
 container around it that has most such text. That one's generalised
 tag-class path (tags and classes from the root, digits made alike) is the page's vote; votes are added up by host and
 path in Spark. Then every page is read again, and the blocks under its host's winning path are its text: the first of
-the host's ranked paths that the page has, or the page's own best container if it has none of them.
+the host's ranked paths (all that at least two pages vote for) that the page has, or the page's own best container if it
+has none of them.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are known by tag, role
 and class and never count or come out. A class that only says what an element has ("with-sidebar") is none of these, nor
@@ -20,10 +21,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import new_path
+from ridgeline.llm.common import settle
 
 #: HTML's elements without content, those whose content is no markup, and those that stand as blocks.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -130,7 +131,10 @@ class Page:
                     at = end.end() if end else size
                 continue
             if tag in VOID:
-                flush() if tag == "hr" else words.append(" ")
+                if tag == "hr":
+                    flush()
+                elif tag == "br":
+                    words.append(" ")  # the others leave the text around them as it stands
                 continue
             if tag in BLOCK:
                 flush()
@@ -225,15 +229,14 @@ def votes(pages: DataFrame) -> DataFrame:
     return cast.groupBy("host", "path").agg(F.count(F.lit(1)).alias("votes"), F.sum("score").alias("score"))
 
 
-def consensus(pages: DataFrame, keep: int = 3) -> DataFrame:
-    """host, ranked: its paths with the most votes (ties: more text, then by name), written to the shared folder."""
-    best = Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("score"), "path")
-    top = votes(pages).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep)
-    ranked = top.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("rank", "path"))).alias("r")).select("host", F.col("r.path").alias("ranked"))
-    spark = pages.sparkSession
-    at = new_path(spark, "paths")
-    ranked.write.parquet(at)
-    return spark.read.schema("host string, ranked array<string>").parquet(at)  # of known size: Spark sends it or joins it
+def consensus(pages: DataFrame, least: int = 2) -> DataFrame:
+    """host, ranked: all paths that at least `least` of its pages vote for, those with the most votes first (ties: more text,
+    then by name), written to the shared folder. A path that one page alone votes for is no consensus; that page has it as
+    its own best container."""
+    voted = votes(pages).where(F.col("votes") >= least)
+    order = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("v"), (-F.col("score")).alias("s"), "path")))
+    ranked = voted.groupBy("host").agg(order.alias("r")).select("host", F.col("r.path").alias("ranked"))
+    return settle(ranked, "paths")  # of known size: Spark sends it or joins it
 
 
 def extract(pages: DataFrame) -> DataFrame:

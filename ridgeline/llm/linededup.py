@@ -6,11 +6,13 @@ filter holds are suspected, shuffled (counted where they are read first) and con
 key and the number of documents that hold it. Texts are never shuffled while the confirmed keys fit the stated bound.
 
 A line's key is the line without white space at either end, A-Z lower-cased. With keep="none" a confirmed key loses all
-its lines; with keep="first" the line of the first document (by id, then row) that holds it stays, once.
+its lines; with keep="first" the line of the first document (by id, then hash of its text) that holds it stays, once.
 
-The filters' size is fixed by `filter_bits`; a corpus that fills them makes more keys suspects, never fewer, so it costs
-shuffle and not correctness. Nulls: a null text is one empty line; null ids sort first. Keys shorter than min_chars are
-left alone. Repeated rows are documents of their own. An empty table gives an empty table, other columns are ignored.
+The filters are sized by an estimate of the different lines, BITS_A_LINE each, up to MOST_BITS; a corpus that fills them
+makes more keys suspects, never fewer, so it costs shuffle (of hashes, counted where they are read first) and not
+correctness. Nulls: a null text is one empty line; null ids sort first. Keys shorter than min_chars are left alone.
+Repeated rows are documents of their own: each counts, and with keep="first" each row that is equal to the first document
+keeps its line. Very long texts are read whole. An empty table gives an empty table, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,14 +27,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import settle
+from ridgeline.llm.common import in_bytes, settle
 
 #: The white space that a key doesn't begin or end with.
 BLANK = b" \t\n\x0b\x0c\r"
 
-FILTER_BITS = 1 << 25
+BITS_A_LINE, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 27
 SEGMENT_BITS = 1 << 19
-#: Confirmed keys that a task may hold in memory at once (16 bytes each); beyond it they are joined.
+#: Confirmed keys that a task may hold in memory at once (packed, 33 bytes each); beyond it they are joined.
 MOST_BROADCAST = 1_000_000
 
 LINES = "doc_id bigint, n_lines bigint, n_dropped bigint, kept string"
@@ -69,8 +71,41 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, byte
             yield batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
 
 
-def twice_filter(docs: DataFrame, min_chars: int = 1, filter_bits: int = FILTER_BITS) -> np.ndarray:
+def bits_for(docs: DataFrame) -> int:
+    """A power of two: bits for a filter over the lines of docs, from an estimate of how many are different."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    lines = docs.select(F.explode(F.split(text, "\n")).alias("line")).agg(F.approx_count_distinct(F.xxhash64("line"))).first()[0]
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_LINE * lines - 1).bit_length()))
+
+
+class Known:
+    """Confirmed keys with their first documents, packed and sorted."""
+
+    def __init__(self, table: pa.Table):
+        halves = np.frombuffer(b"".join(table.column("key").to_pylist()), "<u8").reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        self.a, self.b = halves[order, 0].copy(), halves[order, 1].copy()
+        ids, rows = table.column("doc_id").combine_chunks(), table.column("row").combine_chunks()
+        self.null = np.asarray(ids.is_null())[order]
+        self.ids, self.rows = (np.asarray(x.fill_null(0))[order] for x in (ids, rows))
+
+    def find(self, keys: list[bytes]) -> dict[bytes, tuple]:
+        """Those of the keys that are known, with their first document (id, row)."""
+        if not keys or not len(self.a):
+            return {}
+        halves = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+        found = {}
+        lo, hi = np.searchsorted(self.a, halves[:, 0]), np.searchsorted(self.a, halves[:, 0], "right")
+        for k in np.flatnonzero(hi > lo):
+            for at in range(lo[k], hi[k]):
+                if self.b[at] == halves[k, 1]:
+                    found[keys[k]] = (None if self.null[at] else int(self.ids[at]), int(self.rows[at]))
+        return found
+
+
+def twice_filter(docs: DataFrame, min_chars: int = 1, filter_bits: int | None = None) -> np.ndarray:
     """Bits (packed) that hold every key which two documents have, and few others."""
+    filter_bits = filter_bits or bits_for(docs)
     segments = max(1, filter_bits // SEGMENT_BITS)
     size = filter_bits // segments
 
@@ -122,11 +157,12 @@ def _suspected(keys: list[bytes], packed: np.ndarray, bits: int) -> np.ndarray:
     return ((packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=1)
 
 
-def repeated_keys(docs: DataFrame, min_docs: int, min_chars: int = 1, filter_bits: int = FILTER_BITS, with_first: bool = False) -> DataFrame:
+def repeated_keys(docs: DataFrame, min_docs: int, min_chars: int = 1, filter_bits: int | None = None, with_first: bool = False) -> DataFrame:
     """key (binary), n_docs and first (its first document: id, then hash of its text; null unless asked for) of the
     keys that min_docs documents have.
 
     Only suspects leave their task; equal keys are counted where they are read before they are dealt out."""
+    filter_bits = filter_bits or bits_for(docs)
     packed: Broadcast = docs.sparkSession.sparkContext.broadcast(twice_filter(docs, min_chars, filter_bits))
 
     def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +200,7 @@ def _drop(text: bytes, doc_id: int | None, bad: dict[bytes, tuple], keep: str, m
     return len(lines), len(lines) - len(stays), b"\n".join(stays)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int = FILTER_BITS, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", filter_bits: int | None = None, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Columns LINES, a row for each row of docs: lines before, lines dropped, the text that stays.
 
     Confirmed keys number at most lines / min_docs. Up to most_broadcast of them (their number is measured) are sent to
@@ -178,13 +214,14 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
         return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)] if rows else [pa.array([], t) for t in schema.types], schema=schema)
 
     if bad.count() <= most_broadcast:
-        known = docs.sparkSession.sparkContext.broadcast({bytes(r.key): tuple(r.first or ()) for r in bad.collect()})
+        known = docs.sparkSession.sparkContext.broadcast(Known(bad.select("key", "first.doc_id", "first.row").toArrow()))  # at most most_broadcast keys
 
         def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = []
-                for doc_id, text in _texts([batch]):
-                    n, dropped, kept = _drop(text, doc_id, known.value, keep, min_chars)
+            for batch in in_bytes(batches):
+                texts, rows = list(_texts([batch])), []
+                own = known.value.find(list({k for _, text in texts for k in keys_of(text, min_chars) if k is not None}))
+                for doc_id, text in texts:
+                    n, dropped, kept = _drop(text, doc_id, own, keep, min_chars)
                     rows.append((doc_id, n, dropped, kept.decode()))
                 yield out(rows)
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import Memo, new_path, settle, text_or_empty
+from ridgeline.llm.common import Memo, drop, new_path, settle, text_or_empty, unused
 
 TOPICS = 8
 LONG = 6
@@ -46,7 +46,14 @@ def _topic_and_tokens(texts: pd.Series) -> pd.DataFrame:
 
 
 def _category(name: str) -> Column:
-    return F.coalesce(F.col(name).cast("string"), F.lit(NONE))
+    """NONE for null; a value that begins like NONE gets one more of it before."""
+    value = F.col(name).cast("string")
+    return F.coalesce(F.when(F.startswith(value, F.lit(NONE)), F.concat(F.lit(NONE), value)).otherwise(value), F.lit(NONE))
+
+
+def _value(category: Column) -> Column:
+    """What _category was made from."""
+    return F.when(category != NONE, F.when(F.startswith(category, F.lit(NONE)), F.substr(category, F.lit(2))).otherwise(category))
 
 
 def _draw(seed: int) -> Column:
@@ -73,6 +80,8 @@ def rake(cells: pd.DataFrame, targets: dict[str, pd.Series], rounds: int = 100,
     """Factors by cell: tokens * factor has the target shares in every dimension (total kept)."""
     tokens = cells.tokens.to_numpy(float)
     total, weight = tokens.sum(), tokens.copy()
+    if not len(tokens):
+        return weight
     codes = {d: pd.factorize(cells[d]) for d in targets}
     for _ in range(rounds):
         worst = 0.0
@@ -80,7 +89,7 @@ def rake(cells: pd.DataFrame, targets: dict[str, pd.Series], rounds: int = 100,
             code, names = codes[d]
             now = np.bincount(code, weight, len(names))
             goal = target.reindex(names).fillna(0).to_numpy() * total
-            ratio = np.divide(goal, now, out=np.ones_like(now), where=now > 0)
+            ratio = np.divide(goal, now, out=np.ones(len(names)), where=now > 0)
             worst = max(worst, float(np.abs(ratio[now > 0] - 1).max(initial=0)))
             weight = weight * ratio[code]
         if worst < tolerance:
@@ -112,28 +121,25 @@ def _goals_in_spark(cells: DataFrame, d: str, total: float, temperature: float,
     return settle(w.withColumn("goal", F.col("goal") / norm * total))
 
 
-def _drop(spark: SparkSession, at: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def _rake_in_spark(cells: DataFrame, temperature: float, targets: dict[str, dict] | None = None, rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
     """The same for any number of cells: shares, ratios and weights stay in Spark. Each round's weights are a file in the
     shared folder, so that their size is known; the sizes Spark guesses for joins of joins grow with every round."""
     spark, last = cells.sparkSession, None
-    now = settle(cells.withColumns({"weight": F.col("tokens").cast("double"), "off": F.lit(0.0)}))
-    total = float(now.agg(F.sum("tokens")).first()[0] or 0)
-    goals = {d: _goals_in_spark(cells, d, total, temperature, (targets or {}).get(d)) for d in DIMENSIONS}
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    now = cells.withColumns({"weight": F.col("tokens").cast("double"), "off": F.lit(0.0)})
+    for d in DIMENSIONS:  # a cell carries its goals
+        now = now.join(_goals_in_spark(cells, d, total, temperature, (targets or {}).get(d)).withColumnRenamed("goal", f"goal_{d}"), d)
+    now = settle(now, "cells")
     for _ in range(rounds):
         now = now.withColumn("off", F.lit(0.0))
         for d in DIMENSIONS:
-            ratio = now.groupBy(d).agg(F.sum("weight").alias("has")).join(goals[d], d).select(d, F.when(F.col("has") > 0, F.col("goal") / F.col("has")).otherwise(1.0).alias("ratio"))
+            ratio = now.groupBy(d).agg(F.sum("weight").alias("has"), F.first(f"goal_{d}").alias("goal")).select(d, F.when(F.col("has") > 0, F.col("goal") / F.col("has")).otherwise(1.0).alias("ratio"))
             now = now.join(ratio, d).withColumns({"weight": F.col("weight") * F.col("ratio"), "off": F.greatest("off", F.abs(F.col("ratio") - 1))}).drop("ratio")
         at = new_path(spark, "raked")
         now.write.parquet(at)
         now = spark.read.schema(now.schema).parquet(at)
         if last:
-            _drop(spark, last)
+            drop(spark, last)
         last = at
         if (now.agg(F.max("off")).first()[0] or 0.0) < tolerance:
             break
@@ -141,18 +147,20 @@ def _rake_in_spark(cells: DataFrame, temperature: float, targets: dict[str, dict
 
 
 def _scale_in_spark(raked: DataFrame, budget: float) -> float:
-    """As scale; it ends when no number lies between the bounds, from where on scale's don't move either."""
+    """As scale, to a number's last digits."""
     total, least = raked.agg(F.sum("tokens"), F.min(F.when(F.col("factor") > 0, F.col("factor")))).first()
     goal = budget * (total or 0)
     if not goal or least is None:
         return 0.0
     low, high = 0.0, 1 / least
-    for _ in range(200):
-        mid = (low + high) / 2
-        if mid in (low, high):
+    for _ in range(12):  # each pass tries 63 numbers between the bounds at once
+        tried = [low + (high - low) * k / 64 for k in range(1, 64)]
+        has = raked.agg(*(F.sum(F.least(F.lit(1.0), F.col("factor") * m) * F.col("tokens")) for m in tried)).first()
+        less = sum(x < goal for x in has)
+        bounds = [low, *tried, high]
+        if (bounds[less], bounds[less + 1]) == (low, high):
             break
-        has = raked.agg(F.sum(F.least(F.lit(1.0), F.col("factor") * mid) * F.col("tokens"))).first()[0]
-        low, high = (mid, high) if has < goal else (low, mid)
+        low, high = bounds[less], bounds[less + 1]
     return high
 
 
@@ -179,14 +187,15 @@ def mix_sources(docs: DataFrame, budget: float = 0.7, temperature: float = 0.7,
     measured = settle(measure(docs, seed))
     cells = calibrate(measured, budget, temperature, targets, most_cells)
     return measured.join(cells, DIMENSIONS).select(
-        "doc_id", *(F.when(F.col(c) != NONE, F.col(c)).alias(c) for c in ("source", "lang")), "topic", "tokens", "factor", "probability", (F.col("draw") < F.col("probability")).alias("sampled"))
+        "doc_id", *(_value(F.col(c)).alias(c) for c in ("source", "lang")), "topic", "tokens", "factor", "probability", (F.col("draw") < F.col("probability")).alias("sampled"))
 
 
 def sample_documents(docs: DataFrame, budget: float = 0.7, temperature: float = 0.7, seed: int = 1, targets: dict[str, dict] | None = None, most_cells: int = MOST_CELLS) -> DataFrame:
     """The rows of docs that are drawn, all columns kept. Documents are not shuffled while the cells are few: the
     factors come to the texts."""
     cells = calibrate(measure(docs, seed), budget, temperature, targets, most_cells)
-    cells = cells.select(*(F.col(c).alias(f"_mix_{c}") for c in [*DIMENSIONS, "probability"]))
-    rows = docs.withColumn("_mix", _topic_and_tokens(text_or_empty()))
-    same = (_category("source") == F.col("_mix_source")) & (_category("lang") == F.col("_mix_lang")) & (F.col("_mix.topic") == F.col("_mix_topic"))
-    return rows.join(cells, same).where(_draw(seed) < F.col("_mix_probability")).select(*docs.columns)
+    mixed = unused(docs, "mixed")
+    cells = cells.select(F.struct(*DIMENSIONS).alias(cell := unused(docs, "cell")), F.col("probability").alias(chance := unused(docs, "chance")))
+    rows = docs.withColumn(mixed, F.struct(_category("source").alias("source"), _category("lang").alias("lang"), _topic_and_tokens(text_or_empty()).topic.alias("topic")))
+    rows = rows.join(cells, (F.col(mixed).source == F.col(cell).source) & (F.col(mixed).lang == F.col(cell).lang) & (F.col(mixed).topic == F.col(cell).topic))
+    return rows.where(_draw(seed) < F.col(chance)).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -15,8 +15,8 @@
 5. Links of weighted Jaccard similarity of at least 0.8 are joined to classes in Spark.
 
 Nulls: a null text is empty; texts without a word are copies only of equal texts; a null doc_id takes part, and a class's
-id is its least doc_id (null if it has none). Repeated rows each give a row. An empty table gives an empty table, very
-long texts are one node like any other, other columns are ignored.
+id is its least doc_id (null if it has none). Repeated rows each give a row. A similarity of exactly the threshold is a
+link. An empty table gives an empty table, very long texts are one node like any other, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import WORD, components, in_packed, mix, packed_union, settle, shingles, text_or_empty
+from ridgeline.llm.common import WORD, components, in_bytes, in_packed, join_skewed, mix, packed_union, settle, shingles, text_or_empty, tidy, unused
 
 SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 12, 4
@@ -73,7 +73,12 @@ def node_of(text: str, words: list[str]) -> bytes:
 
 
 def _slim(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    """doc_id, text and mark, which with the id names the row."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"), _mark().alias("mark"))
+
+
+def _mark() -> Column:
+    return F.xxhash64(text_or_empty())
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
@@ -91,7 +96,7 @@ def count_shingles(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, int
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n, held, waiting = np.zeros(width, np.int64), 0, [], 0
-        for batch in batches:
+        for batch in in_bytes(batches):
             for text in _texts(batch):
                 n += 1
                 held.append(np.unique(shingles(words_of(text), SIZE)))
@@ -115,7 +120,7 @@ def count_shingles(docs: DataFrame, width: int = WIDTH) -> tuple[np.ndarray, int
 
     kind = "segment int, counts binary, n bigint"
     out, n_docs = np.zeros(width, np.int64), 0
-    for r in _slim(docs).mapInArrow(count, kind).repartition("segment").mapInArrow(add, kind).collect():  # 8 * width bytes
+    for r in _slim(docs).mapInArrow(tidy(count), kind).repartition("segment").mapInArrow(add, kind).collect():  # 8 * width bytes
         out[r.segment * size : (r.segment + 1) * size] = np.frombuffer(zlib.decompress(r.counts), "<i8")
         n_docs += r.n
     return out, n_docs
@@ -162,12 +167,12 @@ def bands_of(drawn: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndar
 
 
 def signatures(docs: DataFrame, shared: Broadcast) -> DataFrame:
-    """doc_id, node, bands: array of BANDS longs, empty for texts without a word."""
-    schema = pa.schema([("doc_id", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
+    """doc_id, mark, node, bands: array of BANDS longs, empty for texts without a word."""
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights: Weights = shared.value
-        for batch in batches:
+        for batch in in_bytes(batches):
             nodes, bands, chunk, held = [], [], [], 0
             for text in [*_texts(batch), None]:
                 if text is not None:
@@ -184,9 +189,9 @@ def signatures(docs: DataFrame, shared: Broadcast) -> DataFrame:
                     for (k, *_), row in zip(chunk, bands_of(drawn), strict=True):
                         bands[k] = row
                     chunk, held = [], 0
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], schema=schema)
 
-    return _slim(docs).mapInArrow(sign, "doc_id bigint, node binary, bands array<bigint>")
+    return _slim(docs).mapInArrow(tidy(sign), "doc_id bigint, mark bigint, node binary, bands array<bigint>")
 
 
 def prefix(hashes: np.ndarray, weights: np.ndarray, order: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +213,7 @@ def features(docs: DataFrame, needed: DataFrame, shared: Broadcast, threshold: f
     packed = docs.sparkSession.sparkContext.broadcast(packed_union(places, NEEDED_BITS))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_bytes(batches):
             rows = {}
             for text in _texts(batch):
                 words = words_of(text)
@@ -224,7 +229,7 @@ def features(docs: DataFrame, needed: DataFrame, shared: Broadcast, threshold: f
             kinds = (pa.binary(), pa.binary(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=["node", "hashes", "total", "prefix", "rest"])
 
-    found = _slim(docs).mapInArrow(vectors, "node binary, hashes binary, total double, prefix array<bigint>, rest array<double>")
+    found = _slim(docs).mapInArrow(tidy(vectors), "node binary, hashes binary, total double, prefix array<bigint>, rest array<double>")
     kept = found.join(needed.select("node").distinct(), "node", "left_semi")
     return kept.groupBy("node").agg(*(F.first(c).alias(c) for c in ("hashes", "total", "prefix", "rest")))
 
@@ -257,8 +262,8 @@ def verified(pairs: DataFrame, vectors: DataFrame, shared: Broadcast) -> DataFra
 def links(docs: DataFrame, signed: DataFrame, shared: Broadcast, threshold: float = THRESHOLD) -> DataFrame:
     """a, b, similarity: verified links between nodes that join everything which the buckets hold together."""
     bucketed = signed.select("node", F.explode("bands").alias("band")).distinct()
-    shared_bands = bucketed.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = settle(bucketed.join(shared_bands.select("band", "pivot"), "band"))
+    shared_bands = settle(bucketed.groupBy("band").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1"), "bands")
+    members = settle(join_skewed(bucketed, shared_bands, "band").select("band", "node", "pivot"), "members")
     vectors = settle(features(docs, members.select("node").distinct(), shared, threshold))
 
     def check(pairs: DataFrame) -> DataFrame:
@@ -340,25 +345,41 @@ def _labels(found: DataFrame, threshold: float) -> DataFrame:
     return components(found.where(F.col("similarity") >= threshold)).withColumnRenamed("component", "label")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, idf_floor: float = IDF_FLOOR) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (least doc_id of its class), class_size (rows), n_texts (different
-    texts in the class)."""
+def classes(docs: DataFrame, threshold: float = THRESHOLD, idf_floor: float = IDF_FLOOR) -> DataFrame:
+    """doc_id, mark, component (its class), class_id, class_size, n_texts of each row of docs."""
     counters, n_docs = count_shingles(docs)
     shared = docs.sparkSession.sparkContext.broadcast(Weights(counters, n_docs, idf_floor))
-    signed = settle(signatures(docs, shared))
-    classes = components(links(docs, signed, shared, threshold))
+    signed = settle(signatures(docs, shared), "signed")
+    joined = components(links(docs, signed, shared, threshold))
     nodes = signed.groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("rows"))
-    known = nodes.join(classes, "node", "left").select("node", "least", "rows", F.coalesce("component", "node").alias("component"))
-    known = settle(known)
+    known = nodes.join(joined, "node", "left").select("node", "least", "rows", F.coalesce("component", "node").alias("component"))
+    known = settle(known, "known")
     totals = known.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("rows").alias("class_size"), F.count(F.lit(1)).alias("n_texts"))
-    by_node = known.select("node", "component").join(totals, "component").select("node", "class_id", "class_size", "n_texts")
-    return signed.select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "class_size", "n_texts")
+    by_node = known.select("node", "component").join(totals, "component")
+    return signed.select("doc_id", "mark", "node").join(by_node, "node").select("doc_id", "mark", "component", "class_id", "class_size", "n_texts")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, idf_floor: float = IDF_FLOOR) -> DataFrame:
+    """One row for each row of docs: doc_id, class_id (least doc_id of its class), class_size (rows), n_texts (different
+    texts in the class)."""
+    return classes(docs, threshold, idf_floor).select("doc_id", "class_id", "class_size", "n_texts")
 
 
 def first_of_each(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of docs that stand for their class (the least doc_id), all columns kept; repeated rows of an id and
-    text stay once. Rows without an id stay, as nothing tells which of them to keep."""
-    kept = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept_id")).distinct()
-    chosen = docs.join(kept, docs["doc_id"] == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The rows of docs whose id stands for a class (its least doc_id), all columns kept; repeated rows of an id and
+    text stay once. Rows without an id stay, as ids alone don't tell which of them to keep; one_of_each does."""
+    name = unused(docs, "kept_id")
+    kept = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(name)).distinct()
+    chosen = docs.join(kept, docs["doc_id"] == F.col(name), "left_semi").dropDuplicates(["doc_id", "text"])
     return chosen.unionByName(docs.where(F.col("doc_id").isNull()))
 
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, idf_floor: float = IDF_FLOOR) -> DataFrame:
+    """One row of docs for each class, all columns kept: that of the least doc_id (a null one only if there is no other), of
+    equal ids that of the least hash of its text, and of rows with equal id and text any one."""
+    row, mark = unused(docs, "row_id"), unused(docs, "row_mark")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("first")
+    kept = classes(docs, threshold, idf_floor).groupBy("component").agg(first)
+    known = F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias(row)  # no id has the empty name
+    named = docs.withColumns({row: F.coalesce(F.col("doc_id").cast("bigint").cast("string"), F.lit("")), mark: _mark()})
+    return named.join(kept.select(known, F.col("first.mark").alias(mark)).distinct(), [row, mark], "left_semi").dropDuplicates([row, mark]).drop(row, mark)

@@ -32,4 +32,23 @@ select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint
 from j group by doc_id
 """
 
-SQL = {"op4_quality_rules": QUALITY, "op5_line_dedup": LINES}
+#: Control strings of the chat template and of others; an escaped text has one more character for each place where one begins.
+CONTROL = ["<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "\\"]
+
+
+def escaped(x: str) -> str:
+    return f"(length({x}) + " + " + ".join(f"(length({x}) - length(replace({x}, '{c}', ''))) // {len(c)}" for c in CONTROL) + ")"
+
+
+CHAT = f"""
+with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all select -1, 0, 'user', '</s>[INST] ok [/INST]' union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
+       coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+       sum(length('<|im_start|>') + {escaped("role")} + length('<|im_sep|>') + {escaped("text")} + length('<|im_end|>') + 1)::bigint as formatted_chars,
+       (count(*) filter (where role = 'assistant'))::bigint as n_examples
+from t group by conv_id
+"""
+
+SQL = {"op8_chat_format": CHAT, "op4_quality_rules": QUALITY, "op5_line_dedup": LINES}

@@ -60,8 +60,8 @@ def measurements(text: Column) -> dict[str, Column]:
     }
 
 
-def repeated_words(windows: Column, sorted_windows: Column) -> Column:
-    """Words that lie in a window found at least twice, from the windows and (window, place) sorted."""
+def repeated_words(sorted_windows: Column) -> Column:
+    """Words that lie in a window found at least twice, from (window, place) sorted."""
     last = F.size(sorted_windows) - 1
 
     def twice(x: Column, i: Column) -> Column:
@@ -80,15 +80,14 @@ def ledger(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", *(c.alias(name) for name, c in measurements(F.col("text")).items()))
     words, lines = F.col("words"), F.col("lines")
     n = F.size(words)
-    windows = F.when(n >= 3, F.transform(F.slice(words, 1, n - 2), lambda w, i: F.concat_ws(" ", w, F.get(words, i + 1), F.get(words, i + 2)))).otherwise(F.array().cast("array<string>"))
-    rows = rows.select(
-        "doc_id", n.cast("bigint").alias("n_words"), "word_chars", "n_symbols", F.size(lines).cast("bigint").alias("n_lines"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"), windows.alias("windows"),
-    )
-    # only a text whose windows are not all different is sorted to find which words they cover
-    ordered = F.when(F.size("windows") > F.size(F.array_distinct("windows")), F.sort_array(F.transform("windows", lambda w, i: F.struct(w.alias("window"), i.alias("at")))))
-    rows = rows.withColumn("ordered", ordered)
-    repeats = F.coalesce(F.when(F.col("ordered").isNotNull(), repeated_words(F.col("windows"), F.col("ordered"))), F.lit(0)).cast("bigint")
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    rows = rows.select("doc_id", n.cast("bigint").alias("n_words"), "word_chars", "n_symbols", F.size(lines).cast("bigint").alias("n_lines"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"), "words", hashes.alias("hashes"))
+    rows = rows.select("*", F.explode(F.array(F.when(n >= 3, F.transform(F.slice("hashes", 1, n - 2), lambda h, i: F.xxhash64(h, F.get("hashes", i + 1), F.get("hashes", i + 2)))))).alias("prints"))
+    # only a text whose windows' 64-bit hashes are not all different is looked at further: its windows themselves are sorted
+    window = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
+    ordered = F.when(F.size("prints") > F.size(F.array_distinct("prints")), F.sort_array(F.transform("prints", lambda h, i: F.struct(h.alias("hash"), window(i).alias("window"), i.alias("at")))))
+    rows = rows.select("*", F.explode(F.array(ordered)).alias("ordered"))
+    repeats = F.coalesce(F.when(F.col("ordered").isNotNull(), repeated_words(F.col("ordered"))), F.lit(0)).cast("bigint")
     rows = rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", repeats.alias("n_repeat_words"))
     bits = [F.when(F.expr(test), F.lit(1 << k)).otherwise(F.lit(0)).cast("bigint") for k, (_, test) in enumerate(RULES)]
     return rows.withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits))

@@ -1,12 +1,13 @@
 """Secret scan with corpus-wide ownership frequency.
 
 Every text is scanned for the base kinds and for a few tokens of fixed shape. Each found value is hashed, and the corpus
-is counted by value: in how many repositories and by how many owners it stands. A value that many owners share is a
-copied example; one that stays with one owner, looks random and names no placeholder is taken for live.
+is counted by value: in how many repositories and by how many owners it stands. A value that many owners share, or that
+stands in many repositories, is a widely copied example; one that stays with one owner and in few repositories, looks
+random and names no placeholder is taken for live. A value that very many rows have is judged where they are read.
 
 Nulls: a null text is empty and has no spans; a null owner or repository counts as one of its own. Repeated rows each
-give a row, and count once as a repository (a repository is a distinct text). An empty table gives an empty table.
-Other columns are ignored. Spans are code points of the whole text, end exclusive.
+give a row, and count once as a repository (a repository is a distinct text). Very long texts are scanned whole; where two
+kinds begin at one place both are told, in the kinds' order. An empty table gives an empty table. Other columns are ignored. Spans are code points of the whole text, end exclusive.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import settle, text_or_empty
+from ridgeline.llm.common import join_skewed, settle, text_or_empty
 
 #: The base kinds in their order.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -76,24 +77,25 @@ def spans(docs: DataFrame, repository: Column, owner: Column) -> DataFrame:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value_hash, n_repositories, n_owners over the whole corpus. Distinct pairs are formed before they are counted,
-    so a value that stands in very many rows is reduced where it is read and again on each side of the exchange."""
-    pairs = found.select("repository", "owner", F.explode("spans.value_hash").alias("value_hash")).distinct()
-    by_owner = pairs.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("n"))
-    return by_owner.groupBy("value_hash").agg(F.sum("n").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"))
+    """value_hash, n_repositories, n_owners, n (spans) over the whole corpus. Pairs of repository and owner are counted
+    first, so a value that stands in very many rows is reduced where it is read and again on each side of the exchange."""
+    pairs = found.select("repository", "owner", F.explode("spans.value_hash").alias("value_hash")).groupBy("value_hash", "owner", "repository").agg(F.count(F.lit(1)).alias("n"))
+    by_owner = pairs.groupBy("value_hash", "owner").agg(F.count(F.lit(1)).alias("n_repositories"), F.sum("n").alias("n"))
+    return by_owner.groupBy("value_hash").agg(F.sum("n_repositories").alias("n_repositories"), F.count(F.lit(1)).alias("n_owners"), F.sum("n").alias("n"))
 
 
-def scan(docs: DataFrame, repository: Column | None = None, owner: Column | None = None, example_owners: int = 3) -> DataFrame:
+def scan(docs: DataFrame, repository: Column | None = None, owner: Column | None = None, example_owners: int = 3, example_repositories: int = 10) -> DataFrame:
     """One row for each row of docs: doc_id, spans (array of SPAN, in order), n_live, n_example, n_unclear.
 
-    A span's value is an example if at least example_owners owners have it, live if one owner has it and it looks
-    random, else unclear. By default an owner is a source and a repository is a distinct text of it."""
+    A span's value is an example if at least example_owners owners or example_repositories repositories have it, live if
+    one owner has it in fewer and it looks random, else unclear. By default an owner is a source and a repository is a
+    distinct text of it."""
     repository = F.concat_ws("\x01", F.col("source").cast("string"), F.col("text").cast("string")) if repository is None else repository
     owner = F.coalesce(F.col("source").cast("string"), F.lit("\x00")) if owner is None else owner
-    found = settle(spans(docs, repository, owner).withColumn("row", F.monotonically_increasing_id()))
+    found = settle(spans(docs, repository, owner).withColumn("row", F.monotonically_increasing_id()), "spans")
     spread = found.select("row", F.explode("spans").alias("s")).select("row", "s.value_hash", "s.random")
-    judged = spread.join(ownership(found), "value_hash")
-    example = F.col("n_owners") >= example_owners
+    judged = join_skewed(spread, settle(ownership(found), "owners"), "value_hash")
+    example = (F.col("n_owners") >= example_owners) | (F.col("n_repositories") >= example_repositories)
     live = (F.col("n_owners") == 1) & F.col("random")
     totals = judged.groupBy("row").agg(F.sum(example.cast("bigint")).alias("n_example"), F.sum((~example & live).cast("bigint")).alias("n_live"), F.count(F.lit(1)).alias("n"))
     zero = F.lit(0).cast("bigint")

@@ -14,7 +14,7 @@ filter, a binary search over the block index and one block; a scan reads block a
 Documents are ranged by doc_id over partitions, each partition writes shards of bounded size through pyarrow's
 filesystems (so any store that a URI names), and a manifest lists the shards of the attempts that succeeded; files of
 lost attempts are named by none. Nulls: a null doc_id has the empty key and sorts first, a null text is empty. Repeated
-ids stay, ordered by text. An empty table gives an empty manifest and an empty result. Other columns are ignored.
+ids stay, ordered by text. Very long texts are one record. An empty table gives an empty manifest and an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,16 +33,18 @@ import pyarrow.fs as pafs
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import Memo, new_path, text_or_empty
+from ridgeline.llm.common import Memo, forget, in_bytes, new_path, text_or_empty
 
 MAGIC = b"RDGLSST1"
 FOOTER = struct.Struct("<QIQIQQI8s")
 PROBES = 7
 BLOCK_BYTES = 1 << 18
 SHARD_BYTES = 32 << 20
+#: Bytes of input that one partition takes, if Spark's setting gives fewer partitions.
+PART_BYTES = 128 << 20
 END_ID = 1
 
 MANIFEST = "part int, seq int, path string, first_id bigint, n_docs bigint, n_ids bigint, n_bytes bigint"
@@ -247,13 +249,14 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
         fs.create_dir(root, recursive=True)
         part, attempt, rows = TaskContext.get().partitionId(), uuid.uuid4().hex[:12], []
         writer = name = first = None
+        forget(*_memos(tokenizer_path))  # pieces recur from task to task
 
         def close():
             size = writer.close()
             writer.stream.close()
             rows.append((part, len(rows), f"{folder}/{name}", first, len(writer.keys), writer.n_ids, size))
 
-        for batch in batches:
+        for batch in in_bytes(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if writer and writer.offset + writer.held >= shard_bytes:
                     close()
@@ -267,13 +270,20 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
         yield pa.RecordBatch.from_pylist([dict(zip(_names(), r, strict=True)) for r in rows], schema=_manifest_schema())
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    manifest = slim.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), _input_bytes(docs) // PART_BYTES)
+    # an id that very many rows have is split by how its texts begin, in the order that they are written in
+    ranged = slim.repartitionByRange(n, "doc_id", F.substring("text", 1, 24))
+    manifest = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST)
     at = new_path(spark, "manifest")
     manifest.write.parquet(at)
     return spark.read.schema(MANIFEST).parquet(at)
 
 
+def _input_bytes(docs: DataFrame) -> int:
+    """Bytes that Spark takes docs to have; for files, their size."""
+    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def _names() -> list[str]:
     return [x.split()[0] for x in MANIFEST.split(", ")]
 
@@ -283,15 +293,20 @@ def _manifest_schema() -> pa.Schema:
     return pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in MANIFEST.split(", ")])
 
 
-def read_shards(manifest: DataFrame) -> DataFrame:
-    """From the shards a manifest lists: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
+def shard_starts(manifest: DataFrame) -> DataFrame:
+    """path, n_bytes, start (ids in all shards before it), n_docs. Shards are added up within their part; only one row a
+    part meets in one task."""
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids"))
+    before = lambda order: Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    bases = parts.select("part", F.coalesce(F.sum("ids").over(before("part")), F.lit(0)).alias("base"))
+    inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    shards = manifest.select("part", "path", "n_bytes", "n_docs", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("inside"))
+    return shards.join(bases, "part").select("path", "n_bytes", (F.col("base") + F.col("inside")).alias("start"), "n_docs")
+
 
-    The driver sees one row a shard, to add up where each begins; a task streams its shards block by block."""
-    spark = manifest.sparkSession
-    shards, base = [], 0
-    for r in sorted(manifest.select("part", "seq", "path", "n_bytes", "n_ids").collect(), key=lambda r: (r.part, r.seq)):
-        shards.append((r.path, r.n_bytes, base))
-        base += r.n_ids
+def read_shards(manifest: DataFrame) -> DataFrame:
+    """From the shards a manifest lists: doc_id, start (ids of all documents before it), n_tokens, ids_crc32. A task streams
+    its shards block by block."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -309,8 +324,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
                             out = [[], [], [], []]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], schema=schema)
 
-    listed = spark.createDataFrame(shards, "path string, n_bytes bigint, start bigint")
-    return listed.repartition(max(1, min(len(shards), 4096))).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    listed = shard_starts(manifest).select("path", "n_bytes", "start")
+    n = max(manifest.sparkSession.sparkContext.defaultParallelism, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return listed.repartition(n).mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def lookup(manifest: DataFrame, doc_id: int | None) -> list[np.ndarray]:

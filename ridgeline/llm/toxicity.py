@@ -8,7 +8,7 @@ Learning reads at most `train_rows` labelled rows (the documented bound; a sampl
 whatever the partitioning); scoring reads every whole text. Labels, language, source and ids are never inputs of a
 score. Nulls: a null text is empty and gets the bias alone; null labels teach nothing; several labels of an id count
 as toxic if one is. A null id is held out (its text is taken as empty for the split). Without labels every score is 0.
-Repeated rows are scored alike, an empty table gives an empty table, other columns are ignored.
+Repeated rows are scored alike; of an id that has several texts the least one teaches. Very long texts are read whole, an empty table gives an empty table, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeline.llm.common import WORD, text_or_empty, word_hashes
+from ridgeline.llm.common import WORD, forget, text_or_empty, tidy, unused, word_hashes
 
 TRAIN_ROWS = 16_000
 BITS = 22
@@ -101,7 +101,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_RO
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id")  # at most train_rows ids and labels
+    rows = texts.join(F.broadcast(chosen), "doc_id")  # at most train_rows ids and labels
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))  # an id teaches once, however often it stands
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits: int = BITS) -> Model:
@@ -117,8 +118,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits
         m = ftrl([(np.frombuffer(rows[k][1], np.uint32), rows[k][2]) for k in order], bits)
         yield pd.DataFrame({"places": [m.places.astype("<i8").tobytes()], "weights": [m.weights.astype("<f4").tobytes()], "bias": [m.bias], "trained": [m.trained]})
 
-    sample = training_rows(docs, labels, train_rows).mapInPandas(featurise, "doc_id bigint, toxic int, places binary")
-    r = sample.repartition(1).mapInPandas(learn, "places binary, weights binary, bias double, trained boolean").collect()
+    sample = training_rows(docs, labels, train_rows).mapInPandas(tidy(featurise), "doc_id bigint, toxic int, places binary")
+    r = sample.repartition(1).mapInPandas(tidy(learn), "places binary, weights binary, bias double, trained boolean").collect()
     if not r:  # no partition, no row
         return ftrl([], bits)
     return Model(np.frombuffer(r[0].places, "<i8"), np.frombuffer(r[0].weights, "<f4"), r[0].bias, bits, r[0].trained)
@@ -140,12 +141,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 continue
             margin = np.array([keep["dense"][features(t, m.bits)].sum() + m.bias for t in s], float)
             yield pd.Series(1 / (1 + np.exp(-np.clip(margin, -35, 35))))
+        keep.clear()
+        forget()
 
     return docs.withColumn(score_column(docs), probability(text_or_empty(text)))
 
 
 def score_column(docs: DataFrame) -> str:
-    name = "toxicity"
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
-    return name
+    return unused(docs, "toxicity")
