@@ -16,14 +16,17 @@ no tokens; a null id is drawn by its text. Repeated rows are drawn together. Emp
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import Memo, drop, new_path, settle, text_or_empty, unused
+from ridgeline.llm.common import Memo, settle, text_or_empty, unused
 
 TOPICS = 8
 LONG = 6
@@ -98,69 +101,102 @@ def rake(cells: pd.DataFrame, targets: dict[str, pd.Series], rounds: int = 100,
 
 
 def scale(tokens: np.ndarray, factor: np.ndarray, budget: float) -> float:
-    """The multiplier at which min(1, multiplier * factor) has budget of all tokens expected."""
-    goal = budget * tokens.sum()
-    if not goal or not (factor > 0).any():
+    """The multiplier at which min(1, multiplier * factor) has budget of all tokens expected, or at which all that can be
+    drawn is, if that is less. Cells reach 1 in order of their factors: between two of them the sum is a straight line."""
+    goal, some = budget * tokens.sum(), factor > 0
+    if not goal or not some.any():
         return 0.0
-    low, high = 0.0, 1 / factor[factor > 0].min()
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (np.minimum(1, mid * factor) * tokens).sum() < goal else (low, mid)
-    return high
+    order = np.argsort(-factor[some], kind="stable")
+    f, t = factor[some][order], tokens[some][order]
+    full = np.append(0.0, np.cumsum(t))[:-1]  # tokens of the cells before this one, all at 1
+    rest = np.cumsum((f * t)[::-1])[::-1]  # factor * tokens of this one and those behind
+    m = np.divide(goal - full, rest, out=np.full(len(f), np.inf), where=rest > 0)
+    fits = np.flatnonzero(m * f <= 1)
+    return float(max(m[fits[0]], 0.0)) if len(fits) else float(1 / f[-1])
 
 
-def _goals_in_spark(cells: DataFrame, d: str, total: float, temperature: float, given: dict | None) -> DataFrame:
-    """d, goal (tokens) of each of its categories: the given shares, nothing for what they lack, or the open target."""
+def _source_goals(cells: DataFrame, total: float, temperature: float, given: dict | None) -> DataFrame:
+    """source, goal (tokens): the given shares, nothing for what they lack, or the open target."""
     if given:
-        shares = pd.Series(given, dtype=float).fillna(0)
-        named = cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in shares.items()], f"{d} string, share double")
-        named = named.select(F.col(d).cast(cells.schema[d].dataType).alias(d), "share")
-        return settle(cells.select(d).distinct().join(named, d, "left").select(d, (F.coalesce("share", F.lit(0.0)) * total).alias("goal")))
-    w = settle(cells.groupBy(d).agg(F.pow(F.sum("tokens") / (total or 1.0), F.lit(temperature)).alias("goal")))
+        named = cells.sparkSession.createDataFrame([(str(k), float(v)) for k, v in given.items() if v is not None], "source string, share double")
+        return cells.select("source").distinct().join(named, "source", "left").select("source", (F.coalesce("share", F.lit(0.0)) * total).alias("goal"))
+    w = settle(cells.groupBy("source").agg(F.pow(F.sum("tokens") / (total or 1.0), F.lit(temperature)).alias("goal")), "goals")
     norm = w.agg(F.sum("goal")).first()[0] or 1.0
-    return settle(w.withColumn("goal", F.col("goal") / norm * total))
+    return w.withColumn("goal", F.col("goal") / norm * total)
 
 
 def _rake_in_spark(cells: DataFrame, temperature: float, targets: dict[str, dict] | None = None, rounds: int = 100, tolerance: float = 1e-9) -> DataFrame:
-    """The same for any number of cells: shares, ratios and weights stay in Spark. Each round's weights are a file in the
-    shared folder, so that their size is known; the sizes Spark guesses for joins of joins grow with every round."""
-    spark, last = cells.sparkSession, None
-    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
-    now = cells.withColumns({"weight": F.col("tokens").cast("double"), "off": F.lit(0.0)})
-    for d in DIMENSIONS:  # a cell carries its goals
-        now = now.join(_goals_in_spark(cells, d, total, temperature, (targets or {}).get(d)).withColumnRenamed("goal", f"goal_{d}"), d)
-    now = settle(now, "cells")
-    for _ in range(rounds):
-        now = now.withColumn("off", F.lit(0.0))
-        for d in DIMENSIONS:
-            ratio = now.groupBy(d).agg(F.sum("weight").alias("has"), F.first(f"goal_{d}").alias("goal")).select(d, F.when(F.col("has") > 0, F.col("goal") / F.col("has")).otherwise(1.0).alias("ratio"))
-            now = now.join(ratio, d).withColumns({"weight": F.col("weight") * F.col("ratio"), "off": F.greatest("off", F.abs(F.col("ratio") - 1))}).drop("ratio")
-        at = new_path(spark, "raked")
-        now.write.parquet(at)
-        now = spark.read.schema(now.schema).parquet(at)
-        if last:
-            drop(spark, last)
-        last = at
-        if (now.agg(F.max("off")).first()[0] or 0.0) < tolerance:
+    """The same for any number of sources. A row holds a source with its cells, at most one for each (language, topic); it
+    finds its own factor from those of the pairs. A round adds the pairs' weights up over all sources, and the driver, which
+    holds a number for each pair, brings languages and topics to their goals."""
+    spark = cells.sparkSession
+    pairs = cells.groupBy("lang", "topic").agg(F.sum("tokens").alias("tokens")).toPandas().sort_values(["lang", "topic"]).reset_index(drop=True)
+    total, n = float(pairs.tokens.sum()), len(pairs)
+    codes, goals = {}, {}
+    for d in ("lang", "topic"):
+        codes[d], names = pd.factorize(pairs[d])
+        shares = pd.Series(np.bincount(codes[d], pairs.tokens, len(names)) / (total or 1.0), index=names)
+        given = (targets or {}).get(d)
+        goals[d] = (pd.Series(given, dtype=float) if given else targets_of(shares, temperature)).reindex(names).fillna(0).to_numpy() * total
+    numbers = spark.createDataFrame([(r.lang, int(r.topic), k) for k, r in enumerate(pairs.itertuples())], "lang string, topic int, pair int")
+    own = cells.join(F.broadcast(numbers), ["lang", "topic"]).groupBy("source").agg(F.collect_list(F.struct("pair", F.col("tokens").cast("double").alias("tokens"))).alias("c"))
+    rows = settle(own.join(_source_goals(cells, total, temperature, (targets or {}).get("source")), "source").select("source", "goal", F.col("c.pair").alias("pair"), F.col("c.tokens").alias("tokens")), "cells")
+
+    def factors(batch: pa.RecordBatch, of_pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each cell's row, pair and tokens, and each row's factor at these factors of the pairs (nan if it has no weight)."""
+        goal, pair, tokens = batch.column(1).to_numpy(zero_copy_only=False), batch.column(2).flatten().to_numpy(), batch.column(3).flatten().to_numpy()
+        row = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(2).offsets.to_numpy()))
+        has = np.bincount(row, tokens * of_pair[pair], batch.num_rows)
+        return row, pair, tokens, np.divide(goal, has, out=np.full(len(has), np.nan), where=has > 0)
+
+    def add_up(of_pair: np.ndarray, before: np.ndarray | None):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            weight, off = np.zeros(n), 0.0
+            for batch in batches:
+                row, pair, tokens, factor = factors(batch, of_pair)
+                last = np.ones(len(factor)) if before is None else factors(batch, before)[3]
+                off = max(off, np.nanmax(np.abs(factor / last - 1), initial=0.0))
+                weight += np.bincount(pair, tokens * of_pair[pair] * np.nan_to_num(factor[row], nan=1.0), n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, n), pa.int32()), pa.array(np.append(off, weight), pa.float64())], names=["pair", "weight"])
+
+        return work
+
+    of_pair, before = np.ones(n), None
+    for _ in range(rounds if total else 0):
+        sums = rows.mapInArrow(add_up(of_pair, before), "pair int, weight double").groupBy("pair").agg(F.sum("weight").alias("weight"), F.max("weight").alias("most")).toPandas().set_index("pair")
+        worst, weight = sums.most.get(-1, 0.0), sums.weight.reindex(range(n)).fillna(0).to_numpy()
+        before, of_pair = of_pair, of_pair.copy()
+        for d in ("lang", "topic"):
+            now = np.bincount(codes[d], weight, len(goals[d]))
+            ratio = np.divide(goals[d], now, out=np.ones(len(now)), where=now > 0)
+            worst = max(worst, float(np.abs(ratio[now > 0] - 1).max(initial=0)))
+            weight, of_pair = weight * ratio[codes[d]], of_pair * ratio[codes[d]]
+        if worst < tolerance:
             break
-    return now.select(*DIMENSIONS, "tokens", F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0).alias("factor"))
+
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, pair, tokens, factor = factors(batch, before if before is not None else of_pair)
+            all_of = np.where(tokens > 0, np.nan_to_num(factor[row], nan=1.0) * of_pair[pair], 0.0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(pair, pa.int32()), pa.array(tokens.astype(np.int64)), pa.array(all_of)], names=["source", "pair", "tokens", "factor"])
+
+    return rows.mapInArrow(spell, "source string, pair int, tokens bigint, factor double").join(F.broadcast(numbers), "pair").select(*DIMENSIONS, "tokens", "factor")
 
 
 def _scale_in_spark(raked: DataFrame, budget: float) -> float:
-    """As scale, to a number's last digits."""
-    total, least = raked.agg(F.sum("tokens"), F.min(F.when(F.col("factor") > 0, F.col("factor")))).first()
-    goal = budget * (total or 0)
+    """As scale, to a number's last digits: each pass tries 63 numbers between the bounds at once."""
+    every, some, least = raked.agg(F.sum("tokens"), F.sum(F.col("factor") * F.col("tokens")), F.min(F.when(F.col("factor") > 0, F.col("factor")))).first()
+    goal = budget * (every or 0)
     if not goal or least is None:
         return 0.0
-    low, high = 0.0, 1 / least
-    for _ in range(12):  # each pass tries 63 numbers between the bounds at once
-        tried = [low + (high - low) * k / 64 for k in range(1, 64)]
-        has = raked.agg(*(F.sum(F.least(F.lit(1.0), F.col("factor") * m) * F.col("tokens")) for m in tried)).first()
-        less = sum(x < goal for x in has)
-        bounds = [low, *tried, high]
-        if (bounds[less], bounds[less + 1]) == (low, high):
-            break
-        low, high = bounds[less], bounds[less + 1]
+    low, high = min(goal / some, 1 / least) if some else 1 / least, 1 / least
+    for _ in range(12):
+        bounds = [low, *(low * (high / low) ** (k / 64) for k in range(1, 64)), high]
+        has = raked.agg(*(F.sum(F.least(F.lit(1.0), F.col("factor") * m) * F.col("tokens")) for m in bounds[:-1])).first()
+        less = sum(x < goal for x in has)  # the sum grows with the number
+        if less == 0 or (bounds[less - 1], bounds[less]) == (low, high):
+            return low if less == 0 else high
+        low, high = bounds[less - 1], bounds[less]
     return high
 
 
