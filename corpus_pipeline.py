@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeline.llm import decontam, mixing, neardup, tokens, toxicity
-from ridgeline.llm.common import new_path, table
+from ridgeline.llm.common import drop, new_path, scratch, table
 from ridgeline.llm.queries import tokenizer_path
 
 #: Classifier and fitting steps are not SQL; the pipeline is tested against its stages by brute force.
@@ -21,8 +23,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of the least id stays."""
-    return neardup.first_of_each(docs, neardup.near_duplicates(docs))
+    """Of each class of near duplicates the document of the least id stays; one without an id if none has one."""
+    return neardup.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +52,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage keeps in the shared folder goes when its result is written, and that when the next
+    stage's is; the last result and the token shards stay."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         at = new_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(at)
+        with scratch(spark) if stage is not write_tokens else nullcontext():
+            stage(spark, docs, sf_dir).write.parquet(at)
         docs = spark.read.parquet(at)
+        if last:
+            drop(spark, last)
+        last = at
     return docs
