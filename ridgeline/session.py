@@ -2,8 +2,9 @@
 
 A SELECT outside a transaction reads the newest snapshot; any other statement is a read-write transaction of its own.
 BEGIN is read-only; START TRANSACTION is read-write unless it says READ ONLY, which may name a version and then sees the
-commits of lower versions. Snapshots are isolated; two transactions that wrote the same key can't both commit. DDL takes
-effect at once and is not rolled back.
+commits of lower versions. Snapshots are isolated; two transactions that wrote the same key can't both commit, nor can one
+that wrote a row beside one that removed what the row refers to. DDL takes effect at once and is not rolled back. Opening a
+store compacts tables of which changes are a given share. Parquet files can be read beside it as tables that nothing changes.
 """
 
 from __future__ import annotations
@@ -45,8 +46,11 @@ class Transaction:
 
 
 class Session:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store, self.txn = spark, Store(spark, root), None
+    def __init__(self, spark: SparkSession, root: str, external: dict[str, str] | None = None, compact_ratio: float | None = 0.2):
+        """external: Parquet paths by table name; compact_ratio: None never compacts by itself."""
+        self.spark, self.store, self.txn, self.external = spark, Store(spark, root), None, external or {}
+        if compact_ratio is not None:
+            self.store.compact(ratio=compact_ratio)
 
     def execute(self, sql: str) -> Result:
         """Runs all statements of the text and returns the last one's result."""
@@ -71,7 +75,7 @@ class Session:
             raise TransactionError("a read-only transaction changes nothing")
         if isinstance(s, (t.CreateTable, t.DropTable)):
             if not self.txn:
-                self.store.begin()
+                self.store.end(self.store.begin())
             return self.create(s) if isinstance(s, t.CreateTable) else self.drop(s)
         txn = self.txn or Transaction(False, self.store.snapshot(), self.store.begin())
         change = {t.Insert: self.insert, t.Update: self.update, t.Delete: self.delete}[type(s)]
@@ -80,6 +84,8 @@ class Session:
             out = change(txn, s)
         except Exception:
             txn.staged = held  # the statement leaves nothing, the transaction goes on
+            if not self.txn:
+                self.store.end(txn.version)
             raise
         if not self.txn:
             self.commit(txn)
@@ -105,6 +111,7 @@ class Session:
             self.commit(txn)
         else:
             self.discard(txn)
+            self.store.end(None if txn.read_only else txn.version)
         return Result("commit" if keep else "rollback", version=txn.version)
 
     def discard(self, txn: Transaction) -> None:
@@ -113,6 +120,12 @@ class Session:
                 self.store.files.delete(d["path"])
 
     def commit(self, txn: Transaction) -> None:
+        try:
+            self.publish(txn)
+        finally:
+            self.store.end(None if txn.read_only else txn.version)
+
+    def publish(self, txn: Transaction) -> None:
         if not txn.staged:
             return
         seen = set(txn.snapshot)
@@ -121,6 +134,7 @@ class Session:
             since = [n for n in self.store.snapshot() if n not in seen]
             try:
                 self.no_conflict(txn, since)
+                self.no_dangling(txn, since)
             except Exception:
                 self.discard(txn)
                 raise
@@ -141,6 +155,24 @@ class Session:
                         if not mine.where(live).join(there, F.col(c.name).eqNullSafe(F.col("_there")), "left_semi").isEmpty():
                             raise TransactionError("Error Serialization")
 
+    def no_dangling(self, txn: Transaction, since: list[str]) -> None:
+        """No row that this transaction or a commit since the snapshot wrote refers to what the other removed."""
+        theirs = {name for n in since for name, deltas in self.store.commit_of(n)["tables"].items() if any(d["kind"] != "base" for d in deltas)}
+        if not theirs:
+            return
+        tables, now = self.store.tables(), self.store.snapshot()
+        both = lambda name: self.store.rows(tables[name], self.store.live(name, now) + txn.staged.get(name, []))
+        for table in tables.values():
+            for c in table.columns:
+                parent = c.references[0] if c.references else None
+                if parent and (table.name in txn.staged and parent in theirs or parent in txn.staged and table.name in theirs):
+                    deltas = [d for d in self.store.deltas(table.name, since) if d["kind"] != "base"] + txn.staged.get(table.name, [])
+                    key = F.col(table.key.name) == F.col("_there")
+                    written = both(table.name).join(self.store.delta(table, deltas).select(F.col(table.key.name).alias("_there")), key, "left_semi")
+                    target = both(parent).select(F.col(c.references[1]).alias("_there"))
+                    if not written.join(target, F.col(c.name) == F.col("_there"), "left_anti").isEmpty():
+                        raise TransactionError("Error Serialization")
+
     # reading
     def table(self, name: str) -> TableDef:
         tables = self.store.tables()
@@ -149,6 +181,8 @@ class Session:
         return tables[name]
 
     def read(self, txn: Transaction, name: str) -> DataFrame:
+        if name in self.external and name not in self.store.tables():
+            return self.spark.read.parquet(self.external[name])
         return self.store.rows(self.table(name), self.store.live(name, txn.snapshot) + txn.staged.get(name, []))
 
     def selects(self, txn: Transaction) -> Selects:
@@ -164,7 +198,8 @@ class Session:
                 plan = self.matching(txn, self.table(s.table), s.where)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
                 return f"{type(s).__name__} {s.table}\n{plan}"
             case t.Insert():
-                return f"Insert {s.table}: {len(s.rows)} rows"
+                table = self.table(s.table)
+                return f"Insert {s.table}: {len(s.rows)} rows\n" + self.inserted(table, s)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
         return type(s).__name__
 
     # definitions
@@ -195,6 +230,7 @@ class Session:
             delta = self.store.write(table, rows.limit(0), version, 0, "base")
             while not self.store.append(len(self.store.files.names("_log")), version, {s.name: [delta]}):
                 pass
+            self.store.end(version)
         return Result("drop", text=s.name)
 
     # changes
@@ -204,8 +240,8 @@ class Session:
         txn.staged.setdefault(table.name, []).append(delta)
         return delta
 
-    def insert(self, txn: Transaction, s: t.Insert) -> Result:
-        table = self.table(s.table)
+    def inserted(self, table: TableDef, s: t.Insert) -> DataFrame:
+        """The rows that an INSERT names, with defaults, checked by type."""
         names = s.columns or [c.name for c in table.columns]
         for n in names:
             table.column(n)
@@ -225,11 +261,39 @@ class Session:
                     raise constraints.ConstraintError(f"{c.name} can't be {v!r}")
                 row.append(v)
             rows.append(tuple(row))
-        new = self.spark.createDataFrame(rows, table.struct())
+        return self.spark.createDataFrame(rows, table.struct())
+
+    def insert(self, txn: Transaction, s: t.Insert) -> Result:
+        table = self.table(s.table)
+        return self.add(txn, table, self.inserted(table, s))
+
+    def add(self, txn: Transaction, table: TableDef, new: DataFrame) -> Result:
+        constraints.not_null(table, new)
         constraints.unique(table, new, self.read(txn, table.name))
         constraints.references(table, new, lambda name: self.read(txn, name))
-        self.stage(txn, table, new.withColumn("_deleted", F.lit(False)), "insert")
-        return Result("insert", count=len(rows), version=txn.version)
+        delta = self.stage(txn, table, new.withColumn("_deleted", F.lit(False)), "insert")
+        return Result("insert", count=self.store.delta(table, [delta]).count(), version=txn.version)
+
+    def load(self, name: str, rows: DataFrame) -> Result:
+        """Inserts the rows of a DataFrame, however many, under the table's constraints: a column is taken by its name and
+        cast to the table's type, one that rows lacks has its default."""
+        if self.txn and self.txn.read_only:
+            raise TransactionError("a read-only transaction changes nothing")
+        table, there = self.table(name), {c.lower(): c for c in rows.columns}
+        for c in table.columns:
+            if c.name not in there and not c.has_default:
+                raise constraints.ConstraintError(f"{c.name} has no value and no default")
+        new = rows.select(*((F.col(f"`{there[c.name]}`") if c.name in there else F.lit(c.default)).cast(KINDS[c.kind]).alias(c.name) for c in table.columns))
+        txn = self.txn or Transaction(False, self.store.snapshot(), self.store.begin())
+        try:
+            out = self.add(txn, table, new)
+        except Exception:
+            if not self.txn:
+                self.store.end(txn.version)
+            raise
+        if not self.txn:
+            self.commit(txn)
+        return out
 
     def matching(self, txn: Transaction, table: TableDef, where) -> DataFrame:
         rows = self.read(txn, table.name)
@@ -300,5 +364,6 @@ class Session:
         return index_scan(self.read(self.txn or Transaction(True, self.store.snapshot()), table), column, self.table(table).key.name)
 
     def status(self) -> dict:
-        """The next version, commits, tables, bytes of data, and the open transaction's version."""
-        return {"version": self.store.next_version(), "commits": len(self.store.snapshot()), "tables": len(self.store.tables()), "bytes": self.store.files.size(), "transaction": self.txn.version if self.txn else None}
+        """The next version, commits, tables, bytes of data, the share of them that is garbage, read-write transactions that
+        are open anywhere (or were lost), and this session's transaction's version."""
+        return {"garbage": round(self.store.garbage(), 4), "active": len(self.store.active()), **{"version": self.store.next_version(), "commits": len(self.store.snapshot()), "tables": len(self.store.tables()), "bytes": self.store.files.size(), "transaction": self.txn.version if self.txn else None}}

@@ -15,6 +15,10 @@ SQL_NAMES = {"bigint": "INT", "double": "FLOAT", "string": "TEXT", "boolean": "B
 PYTHON = {"bigint": int, "double": float, "string": str, "boolean": bool}
 
 
+#: Names that the store and the constraints use for columns of their own.
+RESERVED = {"_version", "_seq", "_deleted", "_key", "_row", "_there", "_lost", "_kept"}
+
+
 @dataclass
 class ColumnDef:
     name: str
@@ -82,6 +86,8 @@ def define(statement: t.CreateTable, tables: dict[str, TableDef], spark) -> Tabl
     """Checks a CREATE TABLE against the tables there are."""
     columns = []
     for c in statement.columns:
+        if c.name.lower() in RESERVED:
+            raise SqlError(f"column name {c.name} is reserved")
         if c.primary and c.nullable:
             raise SqlError(f"primary key {c.name} can't be NULL")
         nullable = not c.primary and c.nullable is not False

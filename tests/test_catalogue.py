@@ -8,7 +8,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from ridgeline.plans import catalogue
+from ridgeline.plans import catalogue, statements
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,6 +34,14 @@ def test_same_rows(spark, duck, name):
     assert Counter(tuple(map(plain, r)) for r in df.collect()) == Counter(tuple(map(plain, r)) for r in con.fetchall())
 
 
+@pytest.mark.parametrize("name", list(statements.QUERIES))
+def test_statements_give_the_same_rows(spark, duck, name):
+    df = statements.QUERIES[name](spark, SF)
+    con = duck.execute(statements.SQL[name])
+    assert df.columns == [d[0] for d in con.description]
+    assert Counter(tuple(map(plain, r)) for r in df.collect()) == Counter(tuple(map(plain, r)) for r in con.fetchall())
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = catalogue.QUERIES["filter_and"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice), IsNotNull(o_orderstatus), GreaterThan(o_totalprice" in plan
