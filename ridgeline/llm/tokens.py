@@ -43,8 +43,8 @@ FOOTER = struct.Struct("<QIQIQQI8s")
 PROBES = 7
 BLOCK_BYTES = 1 << 18
 SHARD_BYTES = 32 << 20
-#: Bytes of input that one partition takes, if Spark's setting gives fewer partitions.
-PART_BYTES = 128 << 20
+#: Bytes of input that one partition takes, if Spark's setting gives fewer partitions; and the most partitions.
+PART_BYTES, MOST_PARTS = 128 << 20, 1 << 16
 END_ID = 1
 
 MANIFEST = "part int, seq int, path string, first_id bigint, n_docs bigint, n_ids bigint, n_bytes bigint"
@@ -270,7 +270,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
         yield pa.RecordBatch.from_pylist([dict(zip(_names(), r, strict=True)) for r in rows], schema=_manifest_schema())
 
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), _input_bytes(docs) // PART_BYTES)
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, _input_bytes(docs) // PART_BYTES))
     # an id that very many rows have is split by how its texts begin, in the order that they are written in
     ranged = slim.repartitionByRange(n, "doc_id", F.substring("text", 1, 24))
     manifest = ranged.sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST)
@@ -280,8 +280,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, folder: str | None = None
 
 
 def _input_bytes(docs: DataFrame) -> int:
-    """Bytes that Spark takes docs to have; for files, their size."""
-    return int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Bytes that Spark takes docs to have (for files, their size); 0 where it says that it doesn't know."""
+    said = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return said if said < 1 << 60 else 0
 
 
 def _names() -> list[str]:

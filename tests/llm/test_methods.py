@@ -217,6 +217,14 @@ def test_shards_begin_where_those_before_them_end(spark):
     assert got == want
 
 
+def test_rows_of_unknown_size_and_one_id(spark):
+    import public_tokenizers
+
+    rows = [(None if k % 2 else 7, f"text {k % 5}") for k in range(40)]
+    got = tokens.read_shards(tokens.write_shards(spark.createDataFrame(rows, "doc_id bigint, text string"), public_tokenizers.path("word_bpe_49k.json"))).collect()
+    assert Counter(r.doc_id for r in got) == {7: 20, None: 20} and sorted(r.start for r in got)[:2] == [0, got[0].n_tokens]
+
+
 def test_scratch_goes_and_memos_are_forgotten(spark):
     with common.scratch(spark):
         kept = common.settle(spark.range(5))
@@ -227,3 +235,23 @@ def test_scratch_goes_and_memos_are_forgotten(spark):
     assert memo["abc"] == 3 and common.tidy(lambda rows: (memo[x] for x in rows))
     assert list(common.tidy(lambda rows: (memo[x] for x in rows))(iter(["ab"]))) == [2] and not memo
     assert common.unused(spark.range(1).toDF("x"), "X") == "X_"
+
+
+def test_stages_on_planted_rows_and_on_nothing(spark, small):
+    """Copies, a benchmark passage and clean documents, told apart by plain comparison; no stage fails on no rows."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(17)
+    text = lambda n: " ".join(f"w{x}" for x in rng.integers(0, 10**6, n))
+    item = spark.read.parquet(f"{small}/benchmark.parquet").orderBy("item_id").first().text
+    clean = [(k, text(80)) for k in range(12)]
+    near = [(100 + k, " ".join(["changed", *clean[k][1].split()[1:]])) for k in range(4)]
+    leaking = [(200, f"{text(30)} {item} {text(30)}"), (201, item.upper())]
+    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in clean + near + near[:1] + leaking]
+    docs = spark.createDataFrame(rows, spark.read.parquet(f"{small}/documents.parquet").schema)
+    ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
+    assert ids(corpus_pipeline.drop_near_duplicates(spark, docs, small)) == [*range(12), 200, 201]
+    assert ids(corpus_pipeline.drop_leaks(spark, docs, small)) == sorted([*range(12), 100, 100, 101, 102, 103])
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, docs.limit(0), small)
+        assert none.count() == 0 and (none.columns == docs.columns or name == "token_shards"), name
