@@ -134,14 +134,19 @@ class Marks:
         longs = [0] * (bits // 64)
         for r in places.groupBy(word).agg(F.bit_or(one).alias("marks")).collect():  # bits / 64 rows at most
             longs[r.word] = r.marks
-        self.longs = F.split(F.lit(",".join(map(str, longs))), ",").cast("array<bigint>")  # folded to a literal
+        # a column and no literal: plans, of which the driver keeps and tells many, would spell it out each time
+        self.table = items.sparkSession.createDataFrame([(0, longs)], "zero int, marks array<bigint>")
+
+    def beside(self, rows: DataFrame, number: str) -> DataFrame:
+        """rows with the bits as a column, marks. number: a column that is never below 0."""
+        return rows.join(F.broadcast(self.table), F.least(number, F.lit(0)) == F.col("zero")).drop("zero")  # bits / 8 bytes
 
     def _place(self, h: Column, k: int) -> Column:
         return F.shiftrightunsigned(h, 13 * k).bitwiseAND(F.lit(self.bits - 1).cast("bigint"))
 
     def may_hold(self, h: Column) -> Column:
         at = [self._place(h, k) for k in range(PROBES)]
-        return reduce(Column.__and__, (F.getbit(F.get(self.longs, F.shiftrightunsigned(p, 6).cast("int")), p.bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1 for p in at))
+        return reduce(Column.__and__, (F.getbit(F.get(F.col("marks"), F.shiftrightunsigned(p, 6).cast("int")), p.bitwiseAND(F.lit(63).cast("bigint")).cast("int")) == 1 for p in at))
 
 
 def stretches(docs: DataFrame, marks: Marks, sizes: list[int], longest: int) -> DataFrame:
@@ -153,7 +158,7 @@ def stretches(docs: DataFrame, marks: Marks, sizes: list[int], longest: int) ->
     words = F.col("words")
     hit = lambda i: reduce(Column.__or__, ((i <= F.col("size") - k) & marks.may_hold(shingle(words, i, k)) for k in sizes))
     # every place is looked at in generated code; what follows is for the first of a run of hits in a stretch
-    rows = rows.withColumn("size", F.size("words")).where(F.col("size") >= sizes[0])
+    rows = marks.beside(rows.withColumn("size", F.size("words")).where(F.col("size") >= sizes[0]), "size")
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - sizes[0])).alias("at"))
     if sizes == [SIZE]:
         rows = held(rows, gram=shingle(words, F.col("at"), SIZE)).where(marks.may_hold(F.col("gram")))
@@ -180,9 +185,9 @@ def windows(cut: DataFrame, marks: Marks, lengths: list[int], longest: int, thre
     of_word = lambda h, k: F.shiftrightunsigned(h, k).bitwiseAND(long(lanes))
     zero = F.array(F.struct(*(long(0).alias(f"k{k}") for k in range(width))))
     add = lambda done, h: F.concat(done, F.array(F.struct(*((F.element_at(done, -1)[f"k{k}"] + of_word(h, k)).alias(f"k{k}") for k in range(width)))))
-    rows = held(cut, grams=shingles_at(F.col("hashes"), SIZE))
+    rows = held(marks.beside(cut, "first"), grams=shingles_at(F.col("hashes"), SIZE))
     foreign = F.transform("grams", lambda g, i: F.when(marks.may_hold(g) | (F.array_position("grams", g) != i + 1), 0).otherwise(1))
-    rows = held(rows, foreign=F.aggregate(foreign, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x))))
+    rows = held(rows, foreign=F.aggregate(foreign, F.array(F.lit(0)), lambda done, x: F.concat(done, F.array(F.element_at(done, -1) + x)))).drop("marks")
     rows = held(rows, sums=F.aggregate("hashes", zero, add))
     rows = held(rows, c=F.struct(*(F.col(f"sums.k{k}").alias(f"k{k}") for k in range(width)))).drop("sums")
     rows = rows.withColumnRenamed("size", "of_doc").select("*", F.explode(F.array(*(F.lit(n) for n in lengths))).alias("n_words"))
