@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ridgeline.llm.common import Memo, settle, text_or_empty, unused
+from ridgeline.llm.common import Memo, forget, settle, text_or_empty, unused
 
 TOPICS = 8
 LONG = 6
@@ -38,14 +38,20 @@ _bucket = Memo(lambda w: 1 + xxhash.xxh3_64_intdigest(w.lower()) % TOPICS if len
 
 
 @F.pandas_udf(T.StructType([T.StructField("topic", T.IntegerType()), T.StructField("tokens", T.LongType())]))
-def _topic_and_tokens(texts: pd.Series) -> pd.DataFrame:
-    topics, tokens = [], []
-    for text in texts:
-        words = text.split()
-        n = np.bincount(np.fromiter(map(_bucket.__getitem__, words), np.int64, len(words)), minlength=TOPICS + 1)[1:]
-        topics.append(int(n.argmax()) if n.any() else -1)
-        tokens.append(len(words))
-    return pd.DataFrame({"topic": pd.array(topics, "int32"), "tokens": pd.array(tokens, "int64")})
+def _topic_and_tokens(columns: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for texts in columns:
+        topics, tokens = [], []
+        for text in texts:
+            words = text.split()
+            n = np.bincount(np.fromiter(map(_bucket.__getitem__, words), np.int64, len(words)), minlength=TOPICS + 1)[1:]
+            topics.append(int(n.argmax()) if n.any() else -1)
+            tokens.append(len(words))
+        yield pd.DataFrame({"topic": pd.array(topics, "int32"), "tokens": pd.array(tokens, "int64")})
+    forget()
+
+
+# Else Spark computes it once more, in a worker of its own a task, for the filter on nulls that it adds before a join.
+_topic_and_tokens = _topic_and_tokens.asNondeterministic()
 
 
 def _category(name: str) -> Column:

@@ -13,7 +13,8 @@ Repeated rows are scored alike; of an id that has several texts the least one te
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -65,7 +66,18 @@ def features(text: str, bits: int = BITS) -> np.ndarray:
     return places[keep]
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 0.7, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1, epochs: int = 3, toxic_weight: float = 3.0) -> Model:
+def packed(places: np.ndarray) -> bytes:
+    """Ascending places as their gaps, whose high bytes are mostly zero, compressed: about a third of their size."""
+    gaps = np.diff(places.astype("<u4"), prepend=np.uint32(0))
+    return zlib.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint32)
+
+
+def ftrl(rows: Sequence[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 0.7, beta: float = 1.0, l1: float = 6.0, l2: float = 0.1, epochs: int = 3, toxic_weight: float = 3.0) -> Model:
     """FTRL-proximal with per-coordinate rates. rows: (places, label), in the order in which they teach.
 
     toxic_weight: how much more a toxic row counts, as these are few."""
@@ -86,11 +98,25 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 0.
             step = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / alpha
             z[i] += g - step * w
             n[i] += g * g
-    seen = np.flatnonzero(np.abs(z[:-1]) > l1)
+    seen = np.flatnonzero((z[:-1] > l1) | (z[:-1] < -l1))
     w = weights(seen)
     return Model(seen, w.astype(np.float32), float(weights(np.array([bias]))[0]), bits)
 
 
+class _Unpacking(Sequence):
+    """Rows of packed places and a label, each unpacked whenever it is asked for: the sample is held packed."""
+
+    def __init__(self, rows: list[tuple[bytes, int]]):
+        self.rows = rows
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, k: int) -> tuple[np.ndarray, int]:
+        data, label = self.rows[k]
+        return unpacked(data), label
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, text, toxic of at most train_rows labelled rows outside the held-out split.
 
@@ -110,12 +136,12 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, bits
 
     def featurise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "toxic": pdf.toxic, "places": [features(t, bits).tobytes() for t in pdf.text]})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "toxic": pdf.toxic, "places": [packed(features(t, bits)) for t in pdf.text]})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = sorted((int(i), bytes(p), int(y)) for pdf in batches for i, p, y in zip(pdf.doc_id, pdf.places, pdf.toxic, strict=True))
         order = np.random.default_rng(7).permutation(len(rows))  # ids sort by age; learning order must not
-        m = ftrl([(np.frombuffer(rows[k][1], np.uint32), rows[k][2]) for k in order], bits)
+        m = ftrl(_Unpacking([rows[k][1:] for k in order]), bits)
         yield pd.DataFrame({"places": [m.places.astype("<i8").tobytes()], "weights": [m.weights.astype("<f4").tobytes()], "bias": [m.bias], "trained": [m.trained]})
 
     sample = training_rows(docs, labels, train_rows).mapInPandas(tidy(featurise), "doc_id bigint, toxic int, places binary")

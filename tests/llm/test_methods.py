@@ -69,6 +69,25 @@ def test_ftrl_against_plain_dictionaries():
     assert dict(zip(map(int, model.places), model.weights, strict=True)) == pytest.approx(want, rel=1e-5) and model.bias == pytest.approx(weight("bias")) and 0 < len(want) < 50
 
 
+def test_packed_places():
+    rng = np.random.default_rng(8)
+    for n, bits in ((0, 22), (1, 22), (5, 32), (2000, 22), (50_000, 22)):
+        places = np.unique(rng.integers(0, 1 << bits, n, dtype=np.uint32))
+        back = toxicity.unpacked(toxicity.packed(places))
+        assert back.dtype == np.uint32 and np.array_equal(back, places)
+    places = toxicity.features(" ".join(f"w{x}" for x in rng.integers(0, 5000, 600)))
+    assert len(toxicity.packed(places)) < 0.5 * places.nbytes
+
+
+def test_learning_from_packed_rows(spark, small):
+    """The model is that of plain rows, to the bit."""
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    rows = sorted((r.doc_id, toxicity.features(r.text), r.toxic) for r in toxicity.training_rows(docs, labels).collect())
+    order = np.random.default_rng(7).permutation(len(rows))
+    want, got = toxicity.ftrl([rows[k][1:] for k in order]), toxicity.train(docs, labels)
+    assert np.array_equal(want.places, got.places) and np.array_equal(want.weights, got.weights) and want.bias == got.bias and len(got.places)
+
+
 def test_an_id_teaches_once(spark):
     docs = spark.createDataFrame([(1, "b words"), (1, "a words"), (1, "a words"), (2, "c")], "doc_id bigint, text string")
     labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, toxic int").where(~toxicity.held_out(F.col("doc_id")))

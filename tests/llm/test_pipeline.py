@@ -51,6 +51,12 @@ def test_drawn_documents_stay(spark, small, docs):
     assert kept.columns == docs.columns and ids(kept) == ids(mixing.mix_sources(docs).where("sampled"))
 
 
+def test_drawing_reads_a_text_once(spark, docs):
+    """One evaluation a text, and so one worker a task: a second one would stay in the executor's memory beside all that comes later."""
+    plan = mixing.sample_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_whole_run(spark, small):
     from tokenizers import Tokenizer
 
